@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch sent to Python; long texts make larger rows than Spark's default expects.
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

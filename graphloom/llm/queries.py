@@ -1,6 +1,10 @@
 """Queries of the corpus operators, by name, and SQL for those that SQL can express."""
 
+from graphloom.llm.binary import op7_binary_ids
 from graphloom.llm.packing import op8_packing
 
-QUERIES = {"op8_packing": op8_packing}
+QUERIES = {
+    "op7_binary_ids": op7_binary_ids,
+    "op8_packing": op8_packing,
+}
 ORACLE: dict[str, str] = {}

@@ -32,6 +32,13 @@ def _class(c: int) -> int:
     return LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in these files' vocabularies: itself if printable, else one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
 class Encoder:
     """encode(texts) gives the flat ids of all texts and each text's first position (one entry more than texts)."""
 
@@ -40,6 +47,7 @@ class Encoder:
         self.lib.encode_special_tokens = True
         self.kind = np.array([_class(c) for c in range(LAST + 1)] + [BREAK], np.uint8)
         self.lower = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(LAST + 1)] + [0xFFFF], np.uint32)
+        self.letters, self.tokenize = _byte_letters(), self.lib.model.tokenize
         self.forget()
 
     def forget(self) -> None:
@@ -115,7 +123,7 @@ class Encoder:
         new, at = np.unique(h[fresh], return_index=True)
         at = fresh[at]
         pieces = [cp[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        ids = self._library(pieces)
+        ids = [[t.id for t in self.tokenize(p.encode().decode("latin-1").translate(self.letters))] for p in pieces]
         n, size = self.table.n, np.array([len(x) for x in ids], np.int32)
         self.table.add(new)
         while self.table.n > len(self.begin):
@@ -125,7 +133,7 @@ class Encoder:
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.begin[n : self.table.n] = self.used + np.concatenate(([0], np.cumsum(size)[:-1]))
         self.count[n : self.table.n] = size
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.flat[self.used : self.used + total] = [x for p in ids for x in p]
         self.used += total
         number[fresh] = self.table.find(h[fresh])
         return number
