@@ -1,10 +1,11 @@
 """Queries of the corpus operators, by name, and SQL for those that SQL can express."""
 
+from graphloom.llm import lines
 from graphloom.llm.binary import op7_binary_ids
+from graphloom.llm.fingerprints import op3_fingerprints
+from graphloom.llm.lines import op10_line_dedup
+from graphloom.llm.mixing import op4_mixing
 from graphloom.llm.packing import op8_packing
 
-QUERIES = {
-    "op7_binary_ids": op7_binary_ids,
-    "op8_packing": op8_packing,
-}
-ORACLE: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op3_fingerprints, op4_mixing, op7_binary_ids, op8_packing, op10_line_dedup)}
+ORACLE = {"op10_line_dedup": lines.ORACLE}
