@@ -5,7 +5,8 @@ from graphloom.llm.binary import op7_binary_ids
 from graphloom.llm.fingerprints import op3_fingerprints
 from graphloom.llm.lines import op10_line_dedup
 from graphloom.llm.mixing import op4_mixing
+from graphloom.llm.ngrams import op6_ngram_join
 from graphloom.llm.packing import op8_packing
 
-QUERIES = {q.__name__: q for q in (op3_fingerprints, op4_mixing, op7_binary_ids, op8_packing, op10_line_dedup)}
+QUERIES = {q.__name__: q for q in (op3_fingerprints, op4_mixing, op6_ngram_join, op7_binary_ids, op8_packing, op10_line_dedup)}
 ORACLE = {"op10_line_dedup": lines.ORACLE}
