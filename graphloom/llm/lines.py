@@ -30,6 +30,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     pieces = F.transform(F.sequence(F.lit(0), F.size("lines") - window), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("lines", i + 1, window), "\n").alias("body")))
     rows = lines.select("doc_id", "text_hash", F.explode(pieces).alias("w")).filter(F.length(F.trim(F.translate("w.body", "\n", ""))) > 0)
     rows = rows.select("doc_id", "text_hash", F.col("w.at").alias("at"), F.xxhash64("w.body").alias("h1"), F.xxhash64(F.lit("second half"), "w.body").alias("h2"))
+    rows = common.materialise(rows, "line-windows")
     place = F.struct("doc_id", "text_hash", "at")
     first = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h1", "h2", "first")
     later = rows.join(first, ["h1", "h2"]).filter(place != F.col("first"))
