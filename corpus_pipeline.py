@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import common, language, lines, mixing, ngrams, packing
 
 #: A document's least mean probability of its language.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

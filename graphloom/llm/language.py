@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import common
 from graphloom.llm.arrays import HashTable, U, code_points, mix64, segment_hash, words
 
-BITS, SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, LENGTH, RATE = 16, 500, 20_000, 2, 256, 32, 0.3
+BITS, SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, LENGTH, RATE = 16, 400, 20_000, 2, 256, 32, 0.3
 KEPT = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -125,7 +125,6 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     if n_labels < 2:
         return Model(labels, weights, trans)
     cp, s, e, first = _text_words(texts)
-    feats, at = features(cp, s, e)
     y = np.repeat([labels.index(x) for x in langs], np.diff(first))
     half = LENGTH // 2
     starts = np.concatenate([np.arange(a, max(a + 1, b - half + 1), half) for a, b in zip(first[:-1], first[1:], strict=True) if b - a >= half] or [np.zeros(0, int)]).astype(int)
@@ -139,9 +138,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             same = rng.random(len(p)) < 0.5
             p[same, 1] = np.minimum(p[same, 0] + half, len(y) - half)
             word = (p[:, :, None] + np.arange(half)).reshape(-1)
-            n = at[word + 1] - at[word]
-            f_first = np.concatenate(([0], np.cumsum(n)))
-            f = feats[np.arange(f_first[-1]) + np.repeat(at[word] - f_first[:-1], n)]
+            f, f_first = features(cp, s[word], e[word])
+            n = np.diff(f_first)
             score = _sum_rows(weights, f, f_first).astype(np.float64)
             em = np.exp(score - score.max(1, keepdims=True))
             bound = np.arange(0, len(word) + 1, LENGTH)
