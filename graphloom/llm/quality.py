@@ -98,7 +98,9 @@ class Machine:
         return 1 / (1 + np.exp(-self.margin(*self.rows(features(texts)))[0].clip(-30, 30).astype(float)))
 
     def fit(self, texts: list[str], y: np.ndarray, seed: int = 11) -> "Machine":
-        f = features(texts)
+        parts = [features(texts[i : i + 100]) for i in range(0, len(texts), 100)]
+        where = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
+        f = (*(np.concatenate([p[k] for p in parts]) for k in (0, 1)), where, np.concatenate([p[3] for p in parts]))
         self.mean, self.scale = f[3].mean(0), f[3].std(0) + 1e-6
         index, value, first = self.rows(f)
         rng = np.random.default_rng(seed)
