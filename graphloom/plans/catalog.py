@@ -309,3 +309,34 @@ def change_stream(g: Facts) -> DataFrame:
 def graph_fingerprint(g: Facts) -> DataFrame:
     r = _resolved(g).select("seq", "caller", "resolution", "target")
     return r.agg(F.bit_xor(F.xxhash64(*r.columns)).alias("fingerprint"), F.count("*").alias("rows"))
+
+
+#: One Python module a supplier; K stands for its key.
+_MODULE = "import math\n\nclass TK(Base):\n    size = 1\n\n    def area(self, x):\n        return self.edge(x) + math.sqrt(x)\n\n    @property\n    def edge(self):\n        return helper(1)\n\n\ndef helper(x):\n    return TK(x)\n"
+
+
+def _parsed(g: Facts) -> DataFrame:
+    from graphloom.sources import python_code
+
+    key = F.col("s_suppkey").cast("string")
+    return python_code.parse(g.table("supplier").select(F.concat(F.lit("src/pkg/m"), key, F.lit(".py")).alias("path"), F.replace(F.lit(_MODULE), F.lit("K"), key).alias("text")))
+
+
+_AT = "'src/pkg/m' || s_suppkey || '.py#0000000'"
+
+
+@query(f"""SELECT {_AT} || i AS id, replace(name, 'K', s_suppkey::VARCHAR) AS name, 'pkg::m' || s_suppkey || '::' || CASE WHEN i IN (2, 3, 4) THEN 'T' || s_suppkey || '::' ELSE '' END || replace(name, 'K', s_suppkey::VARCHAR) AS qualified_name, kind, replace(signature, 'K', s_suppkey::VARCHAR) AS signature, a AS start_line, b AS end_line
+  FROM supplier, (VALUES (0, 'import math', 'import', 'import math', 1, 1), (1, 'TK', 'class', 'class TK(Base):', 3, 11), (2, 'size', 'property', 'size = 1', 4, 4), (3, 'area', 'method', 'def area(self, x):', 6, 7),
+    (4, 'edge', 'method', '@property def edge(self):', 9, 11), (5, 'helper', 'function', 'def helper(x):', 14, 15)) v(i, name, kind, signature, a, b)""")
+def python_symbols(g: Facts) -> DataFrame:
+    from graphloom.sources import python_code
+
+    return python_code.symbols(_parsed(g)).select("id", "name", "qualified_name", "kind", "signature", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+
+
+@query(f"""SELECT {_AT} || i AS seq, {_AT} || c AS caller, form, target_kind, name, coalesce(replace(q, 'K', s_suppkey::VARCHAR), '') AS qualifier, line, col
+  FROM supplier, (VALUES (0, 3, 'member', 'method', 'edge', 'TK', 7, 21), (1, 3, 'scoped', 'function', 'sqrt', 'math', 7, 36), (2, 4, 'function', 'function', 'helper', NULL, 11, 16), (3, 5, 'scoped', 'method', '__init__', 'TK', 15, 12)) v(i, c, form, target_kind, name, q, line, col)""")
+def python_calls(g: Facts) -> DataFrame:
+    from graphloom.sources import python_code
+
+    return python_code.call_sites(_parsed(g)).select("seq", "caller", "form", "target_kind", "name", F.coalesce("qualifier", F.lit("")).alias("qualifier"), F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"))
