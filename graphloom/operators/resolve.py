@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.schema import TARGET_KIND
+
 KEY = ["target_kind", "name", "qualifier"]
 
 
+def keys_of(sites: DataFrame, catalog: DataFrame) -> list[str]:
+    """The lookup key; calls never cross languages where both sides state them."""
+    return (["language"] if "language" in sites.columns and "language" in catalog.columns else []) + KEY
+
+
 def callable_catalog(symbols: DataFrame) -> DataFrame:
     """Each callable symbol under up to four qualifiers: none, container, its full prefix, the prefix's last segment."""
     parts = F.split("qualified_name", "::")
@@ -15,8 +22,10 @@ def callable_catalog(symbols: DataFrame) -> DataFrame:
     prefix = F.when(F.size(parts) > 1, prefix)
     last = F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2))
     quals = F.array_distinct(F.array(F.lit(None).cast("string"), "container", prefix, last))
-    kinds = symbols.filter(F.col("kind").isin("function", "method", "test", "configuration"))
-    return kinds.select(F.col("kind").alias("target_kind"), "name", F.explode(quals).alias("qualifier"), "id")
+    kinds = symbols.filter(F.col("kind").isin(list(TARGET_KIND)))
+    domain = F.create_map(*[F.lit(x) for pair in TARGET_KIND.items() for x in pair])[F.col("kind")]
+    language = ["language"] if "language" in symbols.columns else []
+    return kinds.select(*language, domain.alias("target_kind"), "name", F.explode(quals).alias("qualifier"), "id")
 
 
 def resolve(sites: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -24,11 +33,14 @@ def resolve(sites: DataFrame, catalog: DataFrame) -> DataFrame:
 
     The catalog is aggregated before the join, so an ambiguous key adds one row and not one for each candidate.
     """
-    keys = catalog.groupBy(*KEY).agg(F.count("*").alias("candidates"), F.min("id").alias("target"))
-    keys = keys.select(*[F.col(k).alias(f"k_{k}") for k in KEY], "candidates", F.col("target").alias("only"))
+    key = keys_of(sites, catalog)
+    keys = catalog.groupBy(*key).agg(F.count("*").alias("candidates"), F.min("id").alias("target"))
+    keys = keys.select(*[F.col(k).alias(f"k_{k}") for k in key], "candidates", F.col("target").alias("only"))
     lookup = (F.col("form") == "function") | F.col("qualifier").isNotNull()
     on = (F.col("target_kind") == F.col("k_target_kind")) & (F.col("name") == F.col("k_name")) & F.col("qualifier").eqNullSafe(F.col("k_qualifier")) & lookup
-    out = sites.join(keys, on, "left").drop(*[f"k_{k}" for k in KEY])
+    if "language" in key:
+        on = on & (F.col("language") == F.col("k_language"))
+    out = sites.join(keys, on, "left").drop(*[f"k_{k}" for k in key])
     kind = F.when(F.col("candidates") == 1, "resolved").when(F.col("candidates") > 1, "ambiguous").otherwise("unresolved")
     return out.withColumns({"resolution": kind, "target": F.when(kind == "resolved", F.col("only")), "candidates": F.coalesce("candidates", F.lit(0)).cast("long")}).drop("only")
 

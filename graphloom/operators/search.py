@@ -86,3 +86,45 @@ def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     up = paths.withColumn("root", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
     best = up.join(roots, "root").groupBy("path").agg(F.max_by("package_name", F.length("root")).alias("package_name"), F.max("root").alias("nearest"))
     return paths.select("path").join(best, "path", "left")
+
+
+#: Two noncharacters that mark where a match begins and ends; texts hold them nowhere (Unicode keeps them for this).
+_BEGIN, _END = "\ufdd0", "\ufdd1"
+
+
+def match_all(files: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
+    """Every match in every line: path, line, start_column, end_column (code points, end exclusive), shown, omitted.
+
+    One replacement marks all matches of a line in their places, so look-around and word borders see the whole line;
+    lengths between the marks add up to columns. Patterns are Java's; empty matches don't count. The line is shown up
+    to 512 characters around the match.
+    """
+    literal = r"\Q" + query.replace(r"\E", r"\E\\E\Q") + r"\E"
+    pattern = F.lit(f"(?{'u' if case_sensitive else 'iu'}:{query if regex else literal})")
+    rows = lines(files).filter(F.regexp_like("body", pattern))
+    parts = F.split(F.regexp_replace("body", pattern, F.lit(f"{_BEGIN}$0{_END}")), _BEGIN, -1)
+    each = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.struct((F.instr(x, _END) - 1).alias("n"), F.length(x).alias("all")))
+    place = "array<struct<s:int,e:int>>"
+    walk = F.aggregate(
+        each,
+        F.struct((F.length(F.get(parts, 0)) + 1).alias("at"), F.array().cast(place).alias("found")),
+        lambda acc, x: F.struct((acc["at"] + x["all"] - 1).alias("at"), F.concat(acc["found"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + x["n"]).alias("e")))).alias("found")),
+    )
+    hits = F.filter(walk["found"], lambda x: x["e"] > x["s"])
+    rows = rows.select("path", "line", "body", F.explode(hits).alias("h"))
+    start = F.greatest(F.lit(1), F.least(F.col("h.s") - F.floor((512 - F.col("h.e") + F.col("h.s")) / 2), F.length("body") - 511)).cast("int")
+    return rows.select("path", "line", F.col("h.s").cast("long").alias("start_column"), F.col("h.e").cast("long").alias("end_column"), F.substring(F.col("body"), start, F.lit(512)).alias("shown"), F.greatest(F.lit(0), F.length("body") - 512).cast("long").alias("omitted"))
+
+
+def snippets(symbols: DataFrame, files: DataFrame, most_lines: int = 20, most_chars: int = 4096) -> DataFrame:
+    """id, path, snippet, truncated: a symbol's text, whole lines where columns aren't known, cut to the limits."""
+    body = F.split(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    count = F.greatest(F.lit(1), F.col("end_line") - F.col("start_line") + 1).cast("int")
+    said = F.array_join(F.slice(body, F.col("start_line").cast("int"), F.least(count, F.lit(most_lines))), "\n")
+    if {"start_col", "end_col"} <= set(symbols.columns):
+        last = F.length(F.get(body, F.col("end_line").cast("int") - 1))
+        tail = F.when(count <= most_lines, F.greatest(F.lit(0), last - F.col("end_col") + 1)).otherwise(0)
+        said = F.substring(said, F.col("start_col").cast("int"), (F.length(said) - F.col("start_col") + 1 - tail).cast("int"))
+    j = symbols.join(files.select("path", "text"), "path")
+    j = j.filter((F.col("start_line") >= 1) & (F.col("start_line") <= F.size(body))).withColumn("said", said)
+    return j.select("id", "path", F.substring("said", 1, most_chars).alias("snippet"), ((count > most_lines) | (F.length("said") > most_chars)).alias("truncated"))

@@ -38,9 +38,9 @@ WITH files AS (
          CASE WHEN l_returnflag <> 'R' THEN p_brand END AS qualifier, l_linenumber::BIGINT AS line
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ), catalog AS (
-  SELECT DISTINCT kind AS target_kind, name, q AS qualifier, id FROM (
-    SELECT *, unnest([NULL, container, regexp_replace(qualified_name, '::[^:]*$', ''), regexp_extract(regexp_replace(qualified_name, '::[^:]*$', ''), '[^:]*$')]) AS q
-    FROM symbols WHERE kind IN ('function', 'method', 'test', 'configuration'))
+  SELECT DISTINCT CASE WHEN kind IN ('module', 'property') THEN 'configuration' ELSE kind END AS target_kind, name, q AS qualifier, id FROM (
+    SELECT *, unnest(CASE WHEN contains(qualified_name, '::') THEN [NULL, container, regexp_replace(qualified_name, '::[^:]*$', ''), regexp_extract(regexp_replace(qualified_name, '::[^:]*$', ''), '[^:]*$')] ELSE [NULL, container] END) AS q
+    FROM symbols WHERE kind IN ('function', 'method', 'test', 'configuration', 'module', 'property'))
 ), keys AS (SELECT target_kind, name, qualifier, count(*) AS n, min(id) AS sole FROM catalog GROUP BY ALL
 ), resolved AS (
   SELECT s.*, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution, CASE WHEN n = 1 THEN sole END AS target, coalesce(n, 0) AS candidates

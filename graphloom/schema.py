@@ -9,12 +9,14 @@ LANGUAGES = ["rust", "php", "typescript", "python", "javascript", "java", "cshar
 KIND_ORDER = ["module", "function", "method", "struct", "class", "enum", "trait", "interface", "constant", "field", "property", "impl_block", "import", "configuration", "test", "type_alias"]
 ROLES = ["production", "test", "example", "bench", "fixture", "generated", "vendor"]
 PRECISION = ["textual", "heuristic", "syntax", "precise"]
+EDGE_KINDS = ["CONTAINS", "DEFINES", "REFERENCES", "CALLS", "IMPORTS", "IMPLEMENTS", "EXTENDS", "TESTS", "DEPENDS_ON", "BINDS", "RESOLVES", "ROUTES_TO", "DISPATCHES", "LISTENS_TO", "SCHEDULES", "REGISTERS", "AUTHORIZES_WITH", "MODIFIED_BY"]
 PROVIDER_SEVERITY = ["not_configured", "ready", "dormant", "initializing", "catching_up", "degraded"]
 EXTENSIONS = {
     "rs": "rust", "php": "php", "ts": "typescript", "tsx": "typescript", "py": "python", "js": "javascript", "jsx": "javascript",
     "java": "java", "cs": "csharp", "sh": "shell", "bash": "shell", "cpp": "cpp", "cc": "cpp", "h": "cpp", "hpp": "cpp", "tf": "hcl", "hcl": "hcl", "go": "go",
 }
-CALLABLE_KINDS = {"function": ["function"], "method": ["method"], "test": ["test", "function"], "configuration": ["configuration"]}
+#: The lookup domain of each kind that calls and references can mean.
+TARGET_KIND = {"function": "function", "method": "method", "test": "test", "module": "configuration", "property": "configuration", "configuration": "configuration"}
 
 
 def rank(column: str | Column, order: list[str]) -> Column:
