@@ -94,7 +94,8 @@ def affected(old: DataFrame, new: DataFrame, sites: DataFrame, paths: DataFrame)
 
 
 def running_total(rows: DataFrame, order: str, value: Column) -> DataFrame:
-    """Adds total: the sum of value over all rows up to this one by order (a unique number), in two levels.
+    """Adds total: the sum of value over all rows up to this one by order (a number; rows that tie share their total), in
+    two levels.
 
     Rows are dealt to ranges of order; each range sums by itself and gets the sums of the ranges before it (as many
     numbers as ranges). No task sees more than a range.
@@ -114,7 +115,7 @@ def running_total(rows: DataFrame, order: str, value: Column) -> DataFrame:
 
 
 def admit_sites(sites: DataFrame, tests: DataFrame, max_sites: int, max_edges: int, used_edges: int = 0) -> DataFrame:
-    """Adds admitted: the fold that takes sites by seq while their edges fit, passes over those that don't, and goes on.
+    """Adds admitted: the fold that takes sites by seq (unique) while their edges fit, passes over those that don't, and goes on.
 
     A site costs no edge unless it is resolved, then one, and two from a test. When one is refused, less than its cost
     (one edge at most) is left, which the first later site of cost one takes; from there only sites of no cost enter.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import delta, resolve, search
+from graphloom.operators import delta, related, resolve, search
 from graphloom.schema import PROVIDER_SEVERITY, rank
 from graphloom.sources.facts import Facts
 
@@ -340,3 +340,114 @@ def python_calls(g: Facts) -> DataFrame:
     from graphloom.sources import python_code
 
     return python_code.call_sites(_parsed(g)).select("seq", "caller", "form", "target_kind", "name", F.coalesce("qualifier", F.lit("")).alias("qualifier"), F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"))
+
+
+# Relations, candidates, changes and admission.
+
+#: Edges of the tables, with a precision and provenance of their own: calls of line 1 are precise.
+_EDGES = """, edges AS (
+  SELECT 'CONTAINS' AS kind, src, dst, 0 AS seq, 0 AS line, 'syntax' AS precision, 'tree' AS provenance FROM contains
+  UNION ALL SELECT 'CALLS', caller, target, seq, line, CASE WHEN line = 1 THEN 'precise' ELSE 'heuristic' END, CASE WHEN line % 2 = 1 THEN 'resolver' ELSE 'tree' END FROM resolved WHERE resolution = 'resolved')
+"""
+
+
+def _edges(g: Facts) -> DataFrame:
+    c = g.contains().select(F.lit("CONTAINS").alias("kind"), "src", "dst", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("line"), F.lit("syntax").alias("precision"), F.lit("tree").alias("provenance"))
+    precision, provenance = F.when(F.col("line") == 1, "precise").otherwise("heuristic"), F.when(F.col("line") % 2 == 1, "resolver").otherwise("tree")
+    r = _resolved(g).filter("resolution = 'resolved'")
+    return c.unionByName(r.select(F.lit("CALLS").alias("kind"), F.col("caller").alias("src"), F.col("target").alias("dst"), "seq", "line", precision.alias("precision"), provenance.alias("provenance")))
+
+
+_PLACES = "array_to_string(list(line ORDER BY seq)[1:3], ',') AS lines, greatest(0, count(*) - 3) AS omitted"
+def _joined(c: str):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query(_EDGES + f"""SELECT dst AS anchor, src AS id, kind AS edge_kind, count(*) AS occurrence_count, {_PLACES},
+  arg_max(precision, CASE precision WHEN 'precise' THEN 3 WHEN 'syntax' THEN 2 ELSE 1 END) AS precision, arg_min(provenance, (CASE precision WHEN 'precise' THEN 0 WHEN 'syntax' THEN 1 ELSE 2 END, seq)) AS provenance
+  FROM edges WHERE dst IN (SELECT id FROM symbols WHERE kind IN ('method', 'struct')) GROUP BY dst, src, kind""")
+def related_symbols(g: Facts) -> DataFrame:
+    s = g.symbols()
+    r = related.related(_edges(g), s, s.filter("kind IN ('method', 'struct')"), ["CALLS", "CONTAINS"], True)
+    return r.select("anchor", "id", "edge_kind", "occurrence_count", _joined("lines").alias("lines"), F.col("locations_omitted").alias("omitted"), "precision", "provenance")
+
+
+@query(_EDGES + f"""SELECT dst AS anchor, src AS id, count(*) AS occurrence_count, {_PLACES}, CASE WHEN bool_or(precision = 'precise') THEN 'precise' ELSE 'heuristic' END AS precision
+  FROM edges WHERE kind = 'CALLS' AND src IN (SELECT id FROM symbols WHERE kind = 'test') GROUP BY dst, src""")
+def related_tests(g: Facts) -> DataFrame:
+    s = g.symbols()
+    r = related.tests(_edges(g), s, s.filter("kind = 'method'"))
+    return r.select("anchor", "id", "occurrence_count", _joined("lines").alias("lines"), F.col("locations_omitted").alias("omitted"), "precision")
+
+
+@query(f"""SELECT anchor, caller, count(*) AS sites, {_PLACES} FROM (SELECT DISTINCT c.id AS anchor, r.caller, r.seq, r.line FROM catalog c JOIN resolved r
+    ON r.target_kind = c.target_kind AND r.name = c.name AND r.qualifier = c.qualifier WHERE resolution = 'ambiguous' AND c.id % 8 = 4) x
+  WHERE NOT EXISTS (SELECT 1 FROM resolved y WHERE y.resolution = 'resolved' AND y.caller = x.caller AND y.target = x.anchor) GROUP BY anchor, caller""")
+def syntax_callers(g: Facts) -> DataFrame:
+    s = g.symbols().filter("kind = 'method'")
+    r = related.syntax_callers(_resolved(g), resolve.callable_catalog(s), s.filter("id % 8 = 4"))
+    return r.select("anchor", "caller", "sites", _joined("lines").alias("lines"), "omitted")
+
+
+@query(f"""SELECT caller, form, name, coalesce(qualifier, '') AS qualifier, resolution, count(*) AS sites, {_PLACES} FROM resolved
+  WHERE resolution <> 'resolved' AND caller IN (SELECT id FROM symbols WHERE kind = 'test') GROUP BY ALL""")
+def own_candidates(g: Facts) -> DataFrame:
+    r = related.own_candidates(_resolved(g), g.symbols().filter("kind = 'test'"))
+    return r.select("caller", "form", "name", F.coalesce("qualifier", F.lit("")).alias("qualifier"), "resolution", "sites", _joined("lines").alias("lines"), "omitted")
+
+
+@query("""SELECT path FROM symbols WHERE path IN ('part/1.rs', 'part/5.rs') UNION SELECT 'orders/' || (l_orderkey % 16) || '.rs' FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE p_name IN (SELECT name FROM symbols WHERE kind = 'method' AND path IN ('part/1.rs', 'part/5.rs') GROUP BY name HAVING count(*) <> count(*) FILTER (id % 32 <> 1))""")
+def affected_paths(g: Facts) -> DataFrame:
+    s = g.symbols()
+    at = F.concat(F.lit("orders/"), F.pmod(F.col("caller") - F.lit(5 * (1 << 40)), F.lit(16)), F.lit(".rs"))
+    paths = g.spark.createDataFrame([("part/1.rs",), ("part/5.rs",)], "path string")
+    return related.affected(s, s.filter("NOT (kind = 'method' AND id % 32 = 1)"), g.call_sites().withColumn("path", at), paths)
+
+
+@query("""SELECT seq, sum(candidates) OVER (ORDER BY seq)::BIGINT AS total FROM resolved""")
+def running_candidates(g: Facts) -> DataFrame:
+    return related.running_total(_resolved(g).select("seq", "candidates"), "seq", F.col("candidates")).select("seq", "total")
+
+
+_COSTS = """, costs AS (SELECT seq, cost, sum(cost) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM (
+  SELECT seq, CASE WHEN resolution <> 'resolved' THEN 0 WHEN caller IN (SELECT id FROM symbols WHERE kind = 'test') THEN 2 ELSE 1 END AS cost FROM resolved)
+), refused AS (SELECT seq AS at, 999 - (total - cost) AS room FROM costs WHERE total > 999 ORDER BY seq LIMIT 1
+), late AS (SELECT min(c.seq) AS seq FROM costs c, refused r WHERE r.room = 1 AND c.seq > r.at AND c.cost = 1)
+"""
+
+
+@query(_COSTS + "SELECT seq, cost FROM costs WHERE total <= 999 OR cost = 0 OR seq = (SELECT seq FROM late)")
+def admitted_sites(g: Facts) -> DataFrame:
+    s = g.symbols()
+    r = related.admit_sites(_resolved(g), s.filter("kind = 'test'"), 1 << 40, 999)
+    return r.filter("admitted").select("seq", "cost")
+
+
+@query("""SELECT path, line, instr(body, 'the ') AS first_column, (length(body) - length(replace(body, 'the ', ''))) // 4 AS matches FROM ln WHERE contains(body, 'the ')""")
+def regex_matches(g: Facts) -> DataFrame:
+    m = search.match_all(g.files(), "t[h]e ", regex=True, case_sensitive=True)
+    return m.groupBy("path", "line").agg(F.min("start_column").alias("first_column"), F.count("*").alias("matches"))
+
+
+@query("""SELECT id, path, array_to_string(ls[a : least(b, a + 19)], chr(10))[1:4096] AS snippet, b - a + 1 > 20 OR length(array_to_string(ls[a : least(b, a + 19)], chr(10))) > 4096 AS truncated
+  FROM (SELECT doc_id AS id, path, string_split(text, chr(10)) AS ls, doc_id % 3 + 1 AS a, doc_id % 3 + 1 + doc_id % 40 AS b FROM files) WHERE a <= len(ls)""")
+def snippets(g: Facts) -> DataFrame:
+    f, k = g.files(), F.col("doc_id")
+    return search.snippets(f.select(k.alias("id"), "path", (k % 3 + 1).alias("start_line"), (k % 3 + 1 + k % 40).alias("end_line")), f)
+
+
+@query("""SELECT request, CASE WHEN n = 1 THEN id END AS target FROM (SELECT request, n, id, row_number() OVER (PARTITION BY request ORDER BY i) AS k FROM (SELECT l_orderkey * 8 + l_linenumber AS request, unnest(range(2)) AS i,
+    unnest(['none', p_name]) AS name FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk FROM lineitem GROUP BY ALL) JOIN part ON pk = p_partkey) JOIN (SELECT name, count(*) AS n, min(id) AS id FROM symbols WHERE kind = 'field' GROUP BY name) USING (name)) WHERE k = 1""")
+def framework_endpoints(g: Facts) -> DataFrame:
+    li = g.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"))
+    li = li.join(g.table("part").select("p_partkey", "p_name"), F.col("pk") == F.col("p_partkey"))
+    r = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("request"), F.array(F.lit("none"), "p_name").alias("names"))
+    return related.endpoint(r, g.symbols().filter("kind = 'field'").select(F.col("name").alias("qualified_name"), "id"))
+
+
+@query("""SELECT seq, min(b) AS container FROM (SELECT s.seq, p.p_brand AS b FROM sites s JOIN part q ON s.qualifier = q.p_brand AND s.name = q.p_name JOIN part p ON p.p_name = s.name AND p.p_size % 5 = s.line % 5) GROUP BY seq HAVING count(DISTINCT b) = 1""")
+def extension_containers(g: Facts) -> DataFrame:
+    p = g.table("part")
+    sites = g.call_sites().filter("qualifier IS NOT NULL").select("seq", "name", F.array((F.col("line") % 5).cast("string")).alias("namespaces"))
+    return related.extension_containers(sites, p.select((F.col("p_size") % 5).cast("string").alias("namespace"), F.col("p_name").alias("name"), F.col("p_brand").alias("container")))

@@ -1,12 +1,14 @@
-"""Revisions of graph tables: immutable Parquet folders, and one small pointer table that names the published one.
+"""Revisions of graph tables: immutable Parquet folders, the newest of which is the published one.
 
-publish() writes a whole revision before its pointer row, so readers see all of it or none; it fails if another revision
-was published since the caller looked (compare and swap on the pointer's number, kept by an exclusive folder name).
+publish() writes all tables of a revision to a folder of its own and then renames that folder to the revision's number.
+The rename is what publishes: readers see all of a revision or none of it, and of two publishers that start from one
+revision the second finds the number taken and fails (compare and swap). A failed publisher leaves no trace.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,28 +37,49 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def current(self) -> int:
-        fs, p = self._fs(f"{self.root}/published")
+        """The published revision's number; 0 before the first."""
+        fs, p = self._fs(f"{self.root}/revisions")
         if not fs.exists(p):
             return 0
-        return max([int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(p)], default=0)
+        return max([int(x.getPath().getName()) for x in fs.listStatus(p)], default=0)
 
     def publish(self, tables: dict[str, DataFrame], base: int) -> int:
         """Writes tables as revision base + 1; RevisionConflict if base is no longer the published one."""
         new = base + 1
         if self.current() != base:
             raise RevisionConflict(f"revision {self.current()} is published, not {base}")
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/data/{new}/{name}")
-        fs, p = self._fs(f"{self.root}/published/revision={new}")
-        parent = self._fs(f"{self.root}/published")[1]
-        fs.mkdirs(parent)
-        if fs.exists(p) or self.current() != base:
-            raise RevisionConflict(f"revision {new} is already published")
-        fs.mkdirs(p)
+        own = f"{self.root}/staging/{uuid.uuid4().hex}"
+        fs, source = self._fs(own)
+        try:
+            for name, df in tables.items():
+                df.write.parquet(f"{own}/{name}")
+            parent, target = self._fs(f"{self.root}/revisions")[1], self._fs(f"{self.root}/revisions/{new}")[1]
+            fs.mkdirs(parent)
+            if self.current() != base:
+                raise RevisionConflict(f"revision {new} is already published")
+            self._rename(source, target)
+        finally:
+            if fs.exists(source):
+                fs.delete(source, True)
         return new
 
+    def _rename(self, source, target) -> None:
+        """A rename that never replaces or nests, unlike that of FileSystem."""
+        from py4j.protocol import Py4JJavaError
+
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        fs = target.getFileSystem(conf)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(fs.makeQualified(source), fs.makeQualified(target), none)
+        except Py4JJavaError as e:
+            if fs.exists(target):
+                raise RevisionConflict(f"{target} is already published") from e
+            raise
+
     def read(self, name: str, revision: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/data/{revision or self.current()}/{name}")
+        return self.spark.read.parquet(f"{self.root}/revisions/{revision or self.current()}/{name}")
 
     def require(self, at_least: int) -> int:
         """The published revision; NotFresh if it is older than at_least."""

@@ -41,6 +41,17 @@ def test_publish_is_atomic(spark, tmp_path):
     assert {(r.path, r.change) for r in s.changes("files", 1, 2).collect()} == {("b", "modified"), ("c", "added")}
 
 
+def test_two_publishers_one_wins(spark, tmp_path, monkeypatch):
+    a, b = Store(spark, str(tmp_path / "store")), Store(spark, str(tmp_path / "store"))
+    one, two = (spark.createDataFrame([(x, x)], "path string, text string") for x in "ab")
+    monkeypatch.setattr(b, "current", lambda: 0)  # it looked before the other one published
+    assert a.publish({"files": one}, 0) == 1
+    with pytest.raises(RevisionConflict):
+        b.publish({"files": two}, 0)
+    assert [tuple(r) for r in a.read("files").collect()] == [("a", "a")]
+    assert list((tmp_path / "store/staging").iterdir()) == [] and a.publish({"files": two}, 1) == 2
+
+
 def test_inheritance_prefers_traits_and_keeps_ambiguity(spark):
     types = spark.createDataFrame([("C", "T", "trait"), ("C", "P", "extends"), ("D", "C", "extends"), ("E", "P", "implements"), ("E", "Q", "implements"), ("X", "Y", "extends"), ("Y", "X", "extends"), ("F", "E", "extends")], "type string, parent string, relation string")
     methods = spark.createDataFrame([("T", "m"), ("P", "m"), ("Q", "m")], "type string, method string")
