@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from graphloom.operators import related, resolve, search
+from graphloom.operators import delta, related, resolve, search
 from graphloom.schema import rank
 from graphloom.sources.store import NotFresh
 
@@ -77,7 +77,6 @@ class Snapshot:
 
 def build(files: DataFrame, revision: int = 1) -> Snapshot:
     """The snapshot of source files (path, language, role, text and, where there is one, package)."""
-    from graphloom.operators.delta import first_unique
     from graphloom.sources import lexical, python_code
 
     parsed = lexical.parse(files)
@@ -87,7 +86,7 @@ def build(files: DataFrame, revision: int = 1) -> Snapshot:
     named = lexical.relations(parsed).withColumn("kind", F.upper("relation"))
     types = symbols.filter(F.col("kind").isin("class", "struct", "interface", "trait"))
     named = named.withColumn("key", F.concat_ws("|", "request", "kind", F.col("at").cast("string")))
-    target = first_unique(named.select(F.col("key").alias("request"), "names"), types)
+    target = delta.first_unique(named.select(F.col("key").alias("request"), "names"), types)
     heritage = named.join(target.withColumnRenamed("request", "key"), "key").select("kind", F.col("request").alias("src"), F.col("target").alias("dst"), F.concat_ws("/", F.lit(""), "key").alias("seq"), F.lit(None).cast("long").alias("line"))
     return Snapshot(revision, files if "package" in files.columns else files.withColumn("package", F.lit(None).cast("string")), symbols, edges(symbols, sites, heritage), sites, parsed.select("path", F.col("diagnostics").cast("long").alias("count")))
 
@@ -188,9 +187,7 @@ class Engine:
 
     def status(self, limit: int | None = 100) -> Envelope:
         s = self.s
-        row = s.sites.agg(F.count("*").alias("call_sites"), *[F.count_if(F.col("resolution") == k).alias(k) for k in ("resolved", "ambiguous", "unresolved")])
-        for name, df in (("edges", s.edges), ("symbols", s.symbols), ("files", s.files)):
-            row = df.agg(F.count("*").alias(name)).crossJoin(row)  # one row each
+        row = delta.counts({"files": s.files, "symbols": s.symbols, "edges": s.edges}, s.sites)
         out = {"counts": (row, [], 1), "coverage": (s.files.groupBy("role", "language").agg(F.count("*").alias("files")), ["role", "language"], MOST)}
         if s.diagnostics is not None:
             out["diagnostics"] = (s.diagnostics.filter("count > 0"), ["path"], self._limit(limit))

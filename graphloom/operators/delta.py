@@ -104,3 +104,13 @@ def gaps(events: DataFrame) -> DataFrame:
     """Per source: where the event number is not the last one plus one (each source has its own order)."""
     w = Window.partitionBy("source").orderBy("epoch")
     return events.withColumn("previous", F.lag("epoch").over(w)).filter("previous IS NOT NULL AND epoch <> previous + 1")
+
+
+def counts(tables: dict[str, DataFrame], sites: DataFrame) -> DataFrame:
+    """One row: the number of rows of each table, and of call sites, all and by resolution."""
+    names = ["call_sites", "resolved", "ambiguous", "unresolved"]
+    rows = sites.groupBy(F.col("resolution").alias("name")).agg(F.count("*").alias("n"))
+    rows = rows.unionByName(rows.select(F.lit("call_sites").alias("name"), "n"))
+    for name, df in tables.items():
+        rows = rows.unionByName(df.agg(F.count("*").alias("n")).withColumn("name", F.lit(name)))
+    return rows.agg(*[F.coalesce(F.sum(F.when(F.col("name") == x, F.col("n"))), F.lit(0)).alias(x) for x in [*tables, *names]])

@@ -75,6 +75,38 @@ def path_language(path: Column) -> Column:
     return F.when(~F.arrays_overlap(F.split(path, "/"), F.lit(["target"])), table[F.regexp_extract(path, r"\.([^./]+)$", 1)])
 
 
+def language_role(path: Column, language: Column) -> Column:
+    """path_role, refined by the conventions of a language where the path alone says production."""
+    parts = F.split(path, "/")
+    file, low = F.element_at(parts, -1), F.lower(F.element_at(parts, -1))
+    stem = F.regexp_replace(file, r"\.[^.]*$", "")
+    has = lambda *names: F.arrays_overlap(parts, F.lit(list(names)))
+    js = F.array_contains(F.split(F.lower(path), "/"), "__tests__") | file.contains(".test.") | file.contains(".spec.")
+    rules = [
+        (language.isin("typescript", "javascript") & js, "test"),
+        ((language == "python") & F.regexp_like(stem, F.lit(r"^test_|_test$")), "test"),
+        ((language == "java") & (path.startswith("src/test/java/") | F.regexp_like(stem, F.lit("^Test|Tests?$"))), "test"),
+        ((language == "csharp") & has("bin", "obj"), "generated"),
+        ((language == "csharp") & F.regexp_like(stem, F.lit("Tests?$")), "test"),
+        ((language == "cpp") & F.regexp_like(low, F.lit(r"(\.pb|\.generated|\.gen|\.moc)\.[^.]+$")), "generated"),
+        ((language == "cpp") & F.regexp_like(low, F.lit(r"(_test|_tests|_unittest|_spec)\.[^.]+$")), "test"),
+        ((language == "hcl") & has(".terraform", ".terragrunt-cache"), "vendor"),
+        ((language == "hcl") & path.endswith(".tftest.hcl"), "test"),
+        ((language == "go") & path.endswith("_test.go"), "test"),
+        ((language == "go") & (file.endswith(".pb.go") | file.endswith("_generated.go") | file.startswith("zz_generated.")), "generated"),
+    ]
+    generic, out = path_role(path), F.lit("production")
+    for condition, role in reversed(rules):
+        out = F.when(condition, role).otherwise(out)
+    return F.when(generic != "production", generic).otherwise(out)
+
+
+def valid_path(path: Column) -> Column:
+    """Whether a path is relative to its repository: not empty, absolute or of the home folder, without backslashes,
+    dot components or a slash at the end."""
+    return F.coalesce((path != "") & ~F.regexp_like(path, F.lit(r"^/|^~/|\\|/$|(^|/)\.{1,2}(/|$)")), F.lit(False))
+
+
 def signature(text: Column, most: int = 512) -> Column:
     one = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(one) > most, F.concat(F.substring(one, 1, most - 1), F.lit("…"))).otherwise(one)

@@ -159,10 +159,7 @@ def repo_overview(g: Facts) -> DataFrame:
 @query("""SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM contains) AS edges, count(*) AS call_sites,
   count(*) FILTER (resolution = 'resolved') AS resolved, count(*) FILTER (resolution = 'ambiguous') AS ambiguous, count(*) FILTER (resolution = 'unresolved') AS unresolved FROM resolved""")
 def status_counts(g: Facts) -> DataFrame:
-    r = _resolved(g).agg(F.count("*").alias("call_sites"), *[F.count_if(F.col("resolution") == k).alias(k) for k in ("resolved", "ambiguous", "unresolved")])
-    for name, df in (("edges", g.contains()), ("symbols", g.symbols()), ("files", g.files())):
-        r = df.agg(F.count("*").alias(name)).crossJoin(r)  # one row each
-    return r
+    return delta.counts({"files": g.files(), "symbols": g.symbols(), "edges": g.contains()}, _resolved(g))
 
 
 @query("SELECT role, language, count(*) AS files, count(*) FILTER (package = 'src0') AS of_first_package FROM files GROUP BY ALL")
@@ -451,3 +448,40 @@ def extension_containers(g: Facts) -> DataFrame:
     p = g.table("part")
     sites = g.call_sites().filter("qualifier IS NOT NULL").select("seq", "name", F.array((F.col("line") % 5).cast("string")).alias("namespaces"))
     return related.extension_containers(sites, p.select((F.col("p_size") % 5).cast("string").alias("namespace"), F.col("p_name").alias("name"), F.col("p_brand").alias("container")))
+
+
+_NAMES = ["a_test.go", "zz_generated.x.go", "Foo.pb.go", "t.spec.ts", "test_a.py", "b_test.py", "ATest.java", "Tester.java", "obj/a.cs", "ATests.cs", "q_unittest.cc", "m.pb.h", "x.tftest.hcl", ".terraform/m.tf", "main.rs", "__tests__/a.js"]
+_ROLES = ["test", "generated", "generated", "test", "test", "test", "test", "test", "generated", "test", "test", "generated", "test", "vendor", "production", "test"]
+
+
+@query(f"""SELECT doc_id, path, CASE WHEN doc_id % 3 = 1 THEN 'example' ELSE {_ROLES}[doc_id % 16 + 1] END AS role FROM (SELECT doc_id, package || ['/src/', '/Examples/', '/lib/'][doc_id % 3 + 1] || {_NAMES}[doc_id % 16 + 1] AS path FROM files)""")
+def language_roles(g: Facts) -> DataFrame:
+    at = lambda xs, n: F.element_at(F.lit(xs), (F.col("doc_id") % n + 1).cast("int"))
+    f = g.files().select("doc_id", F.concat("package", at(["/src/", "/Examples/", "/lib/"], 3), at(_NAMES, 16)).alias("path"))
+    return f.select("doc_id", "path", search.language_role(F.col("path"), search.path_language(F.col("path"))).alias("role"))
+
+
+_ODD = ["a/b", "", "/a", "~/a", "a/", "a/./b", "../a", "a..b/c", "a/.git", "."]
+
+
+@query("""SELECT doc_id, doc_id % 10 IN (0, 7, 8) AS valid FROM files""")
+def valid_paths(g: Facts) -> DataFrame:
+    return g.files().select("doc_id", search.valid_path(F.element_at(F.lit(_ODD), (F.col("doc_id") % 10 + 1).cast("int"))).alias("valid"))
+
+
+_MANIFESTS = ["a/Cargo.toml", "composer.json", "x/package.json", "y.csproj", "go.mod", "mygo.mod", "a/.cargo/config", "config", "k/BUILD"]
+
+
+@query("""SELECT doc_id, ['rust', 'php', 'typescript,javascript', 'csharp', 'go', '', 'rust', '', 'cpp'][doc_id % 9 + 1] AS languages FROM files""")
+def metadata_inputs(g: Facts) -> DataFrame:
+    from graphloom.sources import worktree
+
+    p = F.element_at(F.lit(_MANIFESTS), (F.col("doc_id") % 9 + 1).cast("int"))
+    return g.files().select("doc_id", F.coalesce(F.array_join(worktree.metadata_languages(p), ","), F.lit("")).alias("languages"))
+
+
+@query("""SELECT user_id, count(*) AS events, min(event_id) AS first_event, max(event_id) AS last_event FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst""")
+def change_bursts(g: Facts) -> DataFrame:
+    e = g.table("events").groupBy("user_id", F.session_window("ts", "30 minutes"))
+    return e.agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event")).drop("session_window")

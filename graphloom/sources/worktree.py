@@ -15,6 +15,33 @@ from graphloom.operators import search
 SKIPPED = [".git", "target"]
 LOCKS = [".terraform.lock.hcl", ".opentofu.lock.hcl"]
 
+#: Files that say something of a language's projects: names, or endings that begin with a star. Fixed values.
+METADATA = [
+    (["Cargo.toml", "Cargo.lock", ".cargo/config", ".cargo/config.toml", "rust-toolchain", "rust-toolchain.toml"], ["rust"]),
+    (["composer.json"], ["php"]),
+    (["package.json"], ["typescript", "javascript"]),
+    (["tsconfig.json"], ["typescript"]),
+    (["jsconfig.json"], ["javascript"]),
+    (["pyproject.toml", "setup.py", "setup.cfg"], ["python"]),
+    (["pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts"], ["java"]),
+    (["*.csproj", "*.sln", "*.slnx", "Directory.Build.props", "Directory.Build.targets", "Directory.Packages.props", "global.json"], ["csharp"]),
+    ([".shellcheckrc", "shellcheckrc"], ["shell"]),
+    (["compile_commands.json", "compile_flags.txt", "CMakeLists.txt", "meson.build", "BUILD", "BUILD.bazel", ".clangd"], ["cpp"]),
+    ([".terraform.lock.hcl", ".opentofu.lock.hcl", ".terraform-version", ".opentofu-version", ".terraformrc", "terraform.rc", "tofu.rc"], ["hcl"]),
+    (["go.mod", "go.sum", "go.work", "go.work.sum"], ["go"]),
+]
+
+
+def metadata_languages(path: Column) -> Column:
+    """The languages whose projects a file describes; null for files that describe none."""
+    out = None
+    for names, languages in METADATA:
+        hit = F.lit(False)
+        for n in names:
+            hit = hit | (path.endswith(n[1:]) if n[0] == "*" else (path == n) | path.endswith("/" + n))
+        out = F.when(hit, F.lit(languages)) if out is None else out.when(hit, F.lit(languages))
+    return out
+
 
 def _scan(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -33,7 +60,7 @@ def read(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:
     """path (relative to root), language, role, text and n_bytes of each source file of at most max_bytes."""
     d = _scan(spark, root).withColumn("language", search.path_language(F.col("path"))).filter("language IS NOT NULL").filter(F.col("length") <= max_bytes)
     d = d.filter(F.is_valid_utf8(F.col("content").cast("string")))
-    return d.select("path", "language", search.path_role(F.col("path")).alias("role"), F.col("content").cast("string").alias("text"), F.col("length").alias("n_bytes"))
+    return d.select("path", "language", search.language_role(F.col("path"), F.col("language")).alias("role"), F.col("content").cast("string").alias("text"), F.col("length").alias("n_bytes"))
 
 
 def left_out(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:

@@ -65,3 +65,14 @@ def test_manifests(spark):
     got = d.select("path", "want", worktree.package_name(d.path, d.text).alias("got")).collect()
     assert [(r.path, r.got) for r in got] == [(r.path, r.want) for r in got]
     assert {(r.root, r.package_name) for r in worktree.package_roots(d).collect()} >= {("", "py"), ("a", "js")}
+
+
+def test_reconcile_policy():
+    from graphloom.streaming.policy import FULL_AFTER, Policy
+
+    kind, p = Policy().decide(0)
+    assert kind == "full" and p.decide(0) == ("noop", p)
+    for _ in range(FULL_AFTER):
+        kind, p = p.decide(1)
+        assert kind == "targeted"
+    assert p.decide(1)[0] == "full" and p.decide(0)[0] == "full" and Policy(False).decide(3, uncertain=True)[0] == "full"
