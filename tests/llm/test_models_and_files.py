@@ -244,3 +244,28 @@ def test_media_odd_rows(odd, empty):
     rows = media.store(odd).mapInArrow(media._load, media._OUT).collect()
     assert len(rows) == 9 and len({r.media_sha256 for r in rows if r.doc_id in (2, 3)}) == 1
     assert media.store(empty).count() == 0
+
+
+def test_term_shares_equal_plain_counts(spark):
+    """Shares of all terms against dictionaries over distinct texts, with entities of one and of several texts."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 12) % 50) for _ in range(80)]
+    texts = [t + (f" a{i % 3}@x.org" if i % 5 == 0 else f" {i}.1.1.1 b@y.org" if i % 7 == 0 else "") for i, t in enumerate(texts)]
+    texts += texts[:20]
+    seen = {t: ({t[a:b] for a, _, b in private.base_spans(t)}, set(t.split())) for t in texts}
+    n = len(seen)
+    got = private.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        text, want = texts[r.doc_id], {}
+        held, terms = seen[text]
+        for m in re.finditer(r"\S+", text):
+            t = m[0]
+            for e in held if t not in held else ():
+                df_e, df_t = sum(e in x for x, _ in seen.values()), sum(t in w for _, w in seen.values())
+                df = sum(e in x and t in w for x, w in seen.values())
+                x = np.log((df * n / df_e + private.SUPPORT) / (df_t + private.SUPPORT)) / np.log(n / df_e)
+                if x >= private.DISCLOSE:
+                    want[m.start()] = max(x, want.get(m.start(), 0))
+        assert {x.s: round(x.share, 9) for x in r.terms} == {a: round(float(x), 9) for a, x in want.items()}
+        assert r.n_term == len(want)
+    assert any(r.n_term for r in got)
