@@ -246,6 +246,17 @@ def test_media_odd_rows(odd, empty):
     assert media.store(empty).count() == 0
 
 
+def test_terms_of_entities_in_one_document(spark):
+    """A value of one text has terms too, however far away; copies of the text don't change what is found."""
+    far = "Quexley wrote this. " + "and so on the end about mail of note " * 5 + "ann@y.org said quexley and Quexley"
+    rows = [(1, far), (2, far), (3, far)] + [(100 + i, f"and so on the end about mail of note said {i}") for i in range(60)]
+    got = {r.doc_id: r for r in private.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    once = {r.doc_id: r for r in private.find(spark.createDataFrame(rows[2:], "doc_id long, text string")).collect()}
+    assert all(f"term:{m.start()}:{m.end()}" in got[1].spans.split(",") for m in re.finditer("(?i)quexley", far))
+    assert f"term:{far.index('and')}:" not in got[1].spans and got[1].spans == got[2].spans == once[3].spans and got[100].spans == ""
+    assert {x.s: x.share for x in got[1].terms} == {x.s: x.share for x in once[3].terms}
+
+
 def test_term_shares_equal_plain_counts(spark):
     """Shares of all terms against dictionaries over distinct texts, with entities of one and of several texts."""
     rng = np.random.default_rng(3)
