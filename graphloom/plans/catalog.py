@@ -386,6 +386,14 @@ def syntax_callers(g: Facts) -> DataFrame:
     return r.select("anchor", "caller", "sites", _joined("lines").alias("lines"), "omitted")
 
 
+@query()
+def syntax_callers_all(g: Facts) -> DataFrame:
+    """syntax_callers with every method as an anchor. The SQL above is for an eighth of them, so this has none."""
+    s = g.symbols().filter("kind = 'method'")
+    r = related.syntax_callers(_resolved(g), resolve.callable_catalog(s), s)
+    return r.select("anchor", "caller", "sites", _joined("lines").alias("lines"), "omitted")
+
+
 @query(f"""SELECT caller, form, name, coalesce(qualifier, '') AS qualifier, resolution, count(*) AS sites, {_PLACES} FROM resolved
   WHERE resolution <> 'resolved' AND caller IN (SELECT id FROM symbols WHERE kind = 'test') GROUP BY ALL""")
 def own_candidates(g: Facts) -> DataFrame:

@@ -1,9 +1,11 @@
 """Every registered query against DuckDB, and the parts that SQL can't show."""
 
+from collections import defaultdict
+
 import duckdb
 import pytest
 
-from graphloom.operators import delta
+from graphloom.operators import delta, related, resolve
 from graphloom.plans import catalog
 from graphloom.sources.store import NotFresh, RevisionConflict, Store
 
@@ -28,6 +30,25 @@ def test_query(spark, sf, duck, name):
     assert sorted(repr(tuple(x)) for x in df.select(*cols).collect()) == want
 
 
+def test_syntax_callers_of_all_methods(spark, sf):
+    """Against loops over sites and candidates, with every method as an anchor."""
+    g = catalog.Facts(spark, sf)
+    sites = catalog._resolved(g).collect()
+    meant = defaultdict(set)
+    for c in resolve.callable_catalog(g.symbols().filter("kind = 'method'")).collect():
+        meant[c.target_kind, c.name, c.qualifier].add(c.id)
+    sure = {(s.target, s.caller) for s in sites if s.resolution == "resolved"}
+    want = defaultdict(list)
+    for s in sites:
+        for anchor in meant[s.target_kind, s.name, s.qualifier] if s.resolution == "ambiguous" else ():
+            if (anchor, s.caller) not in sure:
+                want[anchor, s.caller].append((s.seq, s.line))
+    got = {(r.anchor, r.caller): (r.sites, r.lines, r.omitted) for r in catalog.QUERIES["syntax_callers_all"](spark, sf).collect()}
+    assert got == {k: (len(v), ",".join(str(x) for _, x in sorted(v)[: related.PLACES]), max(0, len(v) - related.PLACES)) for k, v in want.items()}
+    pinned = {(r.anchor, r.caller) for r in catalog.QUERIES["syntax_callers"](spark, sf).collect()}
+    assert pinned < set(got)
+
+
 def test_publish_is_atomic(spark, tmp_path):
     s = Store(spark, str(tmp_path / "store"))
     a = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, text string")
