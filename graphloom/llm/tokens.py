@@ -2,7 +2,8 @@
 
 Both tokenizer files cut a text into pieces (words, numbers, punctuation, blanks) and encode each piece by
 itself. So a piece's ids are asked of the library once and kept by the piece's hash; the cutting runs in numpy.
-A text with a character beyond the ranges below goes to the library whole.
+A text with a character beyond the ranges below, or with the string of an added token such as <|endoftext|>, goes to the
+library whole.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class Encoder:
 
     def __init__(self, path: str, style: str):
         self.lib, self.style = Tokenizer.from_file(path), style
-        self.lib.encode_special_tokens = True
+        self.added = sorted({t.content.lower() for t in self.lib.get_added_tokens_decoder().values()})
         self.kind = np.array([_class(c) for c in range(LAST + 1)] + [BREAK], np.uint8)
         self.lower = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(LAST + 1)] + [0xFFFF], np.uint32)
         self.letters, self.tokenize = _byte_letters(), self.lib.model.tokenize
@@ -57,15 +58,18 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.lib.encode_batch(texts, add_special_tokens=False)]
 
-    def _odd(self, cp: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def _odd(self, texts: list[str], cp: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Which texts go to the library whole."""
         far = np.flatnonzero((cp > LAST) | (cp == 0x130)) if self.style == "word" else np.flatnonzero(cp > LAST)
         doc = np.searchsorted(first, far, "right") - 1
-        return np.unique(doc[far != first[doc + 1] - 1])
+        # Whether the case counts is up to the token; the library finds out.
+        low = map(str.lower, texts)
+        added = [i for i, t in enumerate(low) if any(a in t for a in self.added)]
+        return np.unique(np.concatenate((doc[far != first[doc + 1] - 1], np.array(added, np.int64))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cp, first = code_points(texts, _MARK)
-        odd = self._odd(cp, first)
+        odd = self._odd(texts, cp, first)
         if len(odd):
             whole = dict(zip(odd.tolist(), self._library([texts[i] for i in odd]), strict=True))
             flat, at = self.encode(["" if i in whole else t for i, t in enumerate(texts)])

@@ -35,6 +35,14 @@ def test_encoder_equals_the_library(encoders, texts):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library(name, texts)
 
 
+def test_added_tokens_are_encoded_as_by_default(encoders):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y", "A <|ENDOFTEXT|> B", "no token < | here", "", "é <|endoftext|><|endoftext|>\n", "ሴ<|endoftext|>"]
+    for name, enc in encoders.values():
+        ids, at = enc.encode(texts)
+        want = Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids for e in want]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 300), max_size=3000))
 def test_coder_round_trip(ids):
