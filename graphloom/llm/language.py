@@ -6,7 +6,8 @@ learned together by gradient steps on the conditional likelihood; training seque
 languages, as code-switched text does. Forward-backward over each whole text gives each word's label probabilities; a
 document's language has the largest mean over its words, which is its score.
 
-Fitting takes a bounded sample: about SAMPLE labelled documents a language (those of least hash), of at most SAMPLE_CHARS.
+Fitting takes a bounded sample: about SAMPLE labelled documents a language (those of least hash), and of a longer one a
+passage of SAMPLE_CHARS, at a place by its hash. Texts of any number of words are learned from.
 
 Cases: null text and text without a letter are `und` with score 0; words without letters have no features; rows without
 lang aren't learned from; without any labelled row all is `und`; repeated rows each get a row; an empty table gives no
@@ -27,6 +28,8 @@ from graphloom.llm import common
 from graphloom.llm.arrays import HashTable, U, code_points, mix64, segment_hash, words
 
 BITS, SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, LENGTH, RATE = 16, 400, 20_000, 2, 256, 32, 0.3
+#: Characters in a batch of training sequences (or one sequence), as unspaced text has long words.
+BATCH_CHARS = 1_000_000
 KEPT = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -61,8 +64,8 @@ def _sum_rows(weights: np.ndarray, feats: np.ndarray, first: np.ndarray) -> np.n
     return np.add.reduceat(weights[feats], first[:-1], axis=0) if len(feats) else np.zeros((0, weights.shape[1]), weights.dtype)
 
 
-def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Label probabilities of all words: e has exp(emission) by word, first each text's first word (one entry more)."""
+def forward_backward(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward and backward vectors: e has exp(emission) by word, first each text's first word (one entry more)."""
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     at, n = first[:-1][order], n[order]
@@ -76,10 +79,26 @@ def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.nda
         i = at[: active[t + 1]] + t
         p = (e[i + 1] * b[i + 1]) @ trans.T
         b[i] = p / p.sum(1, keepdims=True)
+    return a, b
+
+
+def _shares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     m = a * b
     return m / m.sum(1, keepdims=True) if len(m) else m
 
 
+def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Label probabilities of all words."""
+    return _shares(*forward_backward(e, first, trans, start))
+
+
+def expected_transitions(a: np.ndarray, b: np.ndarray, e: np.ndarray, inner: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Sum over the words `inner` of the joint probabilities of the labels of the word before and of the word."""
+    left, right = a[inner - 1], e[inner] * b[inner]
+    z = ((left @ trans) * right).sum(1, keepdims=True)
+    return trans * ((left / z).T @ right)
+
+
 def _text_words(texts: list[str]):
     cp, doc = code_points([t.lower() for t in texts], "\n")
     s, e = words(cp)
@@ -127,33 +146,36 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     cp, s, e, first = _text_words(texts)
     y = np.repeat([labels.index(x) for x in langs], np.diff(first))
     half = LENGTH // 2
-    starts = np.concatenate([np.arange(a, max(a + 1, b - half + 1), half) for a, b in zip(first[:-1], first[1:], strict=True) if b - a >= half] or [np.zeros(0, int)]).astype(int)
+    starts = np.concatenate([np.arange(a, b, half) for a, b in zip(first[:-1], first[1:], strict=True)]).astype(int)
+    sizes = np.minimum(starts + half, first[np.searchsorted(first, starts, "right")]) - starts
+    chars = np.add.reduceat(e - s, starts) if len(starts) else starts
     rng = np.random.default_rng(seed)
     g_w, g_t = np.full(weights.shape, 1e-3, np.float32), np.full(trans.shape, 1e-3)
     for _ in range(EPOCHS):
-        pieces = rng.permutation(starts)
-        for i in range(0, len(pieces) - 1, BATCH):
+        pieces, i = rng.permutation(len(starts)), 0
+        while i < len(pieces):
             p = pieces[i : i + BATCH]
+            p = p[: max(1, int(np.searchsorted(np.cumsum(chars[p]), BATCH_CHARS, "right")))]
+            i += len(p)
             p = np.stack((p, rng.permutation(p)), 1)
             same = rng.random(len(p)) < 0.5
-            p[same, 1] = np.minimum(p[same, 0] + half, len(y) - half)
-            word = (p[:, :, None] + np.arange(half)).reshape(-1)
+            p[same, 1] = np.minimum(p[same, 0] + 1, len(starts) - 1)
+            size = sizes[p].reshape(-1)
+            to = np.concatenate(([0], np.cumsum(size)))
+            word = np.arange(to[-1]) + np.repeat(starts[p].reshape(-1) - to[:-1], size)
             f, f_first = features(cp, s[word], e[word])
             n = np.diff(f_first)
             score = _sum_rows(weights, f, f_first).astype(np.float64)
             em = np.exp(score - score.max(1, keepdims=True))
-            bound = np.arange(0, len(word) + 1, LENGTH)
-            m = marginals(em, bound, np.exp(trans), np.ones(n_labels))
-            d = m.copy()
+            bound = to[::2]
+            a, b = forward_backward(em, bound, np.exp(trans), np.ones(n_labels))
+            d = _shares(a, b)
             d[np.arange(len(word)), y[word]] -= 1
             grad = np.stack([np.bincount(f, np.repeat(d[:, j], n), 1 << BITS) for j in range(n_labels)], 1) / len(p)
             g_w += grad * grad
             weights -= (RATE * grad / np.sqrt(g_w)).astype(np.float32)
-            inner = np.flatnonzero(np.arange(len(word)) % LENGTH)
-            # Expected transitions, from the marginals of both words and the transition between them.
-            pair = m[inner - 1][:, :, None] * np.exp(trans)[None] * m[inner][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            gt = pair.sum(0)
+            inner = np.setdiff1d(np.arange(len(word)), bound)
+            gt = expected_transitions(a, b, em, inner, np.exp(trans))
             np.add.at(gt, (y[word[inner - 1]], y[word[inner]]), -1)
             gt /= len(p)
             g_t += gt * gt
@@ -164,7 +186,9 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 
 def fit(docs: DataFrame, seen: Column) -> Model:
     """docs: doc_id, text, lang; seen: the rows to learn from."""
-    rows = docs.filter(seen & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
+    over = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    place = (F.pmod(F.xxhash64("doc_id"), over + 1) + 1).cast("int")
+    rows = docs.filter(seen & F.col("lang").isNotNull()).withColumn("text", F.substring("text", place, F.lit(SAMPLE_CHARS))).filter(F.col("text").rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0)))

@@ -1,6 +1,7 @@
 """Models on held-out rows, round trips, packing and personal data against plain Python."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -10,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import binary, coder, language, media, packing, private, quality
@@ -288,3 +290,26 @@ def test_term_shares_equal_plain_counts(spark):
         assert {x.s: round(x.share, 9) for x in r.terms} == {a: round(float(x), 9) for a, x in want.items()}
         assert r.n_term == len(want)
     assert any(r.n_term for r in got)
+
+
+def test_expected_transitions_equal_enumeration():
+    rng = np.random.default_rng(5)
+    e, trans, first = rng.random((6, 3)) + 0.01, np.exp(rng.normal(0, 2, (3, 3))), np.array([0, 4, 6])
+    want = np.zeros((3, 3))
+    for a, b in ((0, 4), (4, 6)):
+        paths = list(itertools.product(range(3), repeat=b - a))
+        w = np.array([np.prod([e[a + t, y[t]] for t in range(b - a)]) * np.prod([trans[y[t - 1], y[t]] for t in range(1, b - a)]) for y in paths])
+        for y, x in zip(paths, w / w.sum(), strict=True):
+            for t in range(1, b - a):
+                want[y[t - 1], y[t]] += x
+    f, g = language.forward_backward(e, first, trans, np.ones(3))
+    assert np.allclose(language.expected_transitions(f, g, e, np.array([1, 2, 3, 5]), trans), want)
+
+
+def test_languages_of_short_long_and_unspaced_texts_are_learned(spark):
+    words = {"aa": "kato pelu miro sanda", "bb": "xyst qwor zjik vrunt", "cc": "天地玄黃宇宙洪荒", "dd": "ñandú ögel ürzig ädel"}
+    rows = [(4 * i + j, " ".join([w] * (8000 if x == "dd" else 1)), x) for i in range(40) for j, (x, w) in enumerate(words.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, F.lit(True))
+    assert model.labels == list(words)
+    assert model.predict(list(words.values()), {})[0] == list(words)
