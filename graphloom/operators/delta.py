@@ -40,28 +40,50 @@ def first_unique(requests: DataFrame, targets: DataFrame) -> DataFrame:
     return cand.join(unique, "qualified_name").groupBy("request").agg(F.min_by("id", "position").alias("target"))
 
 
-def inherited(types: DataFrame, methods: DataFrame, rounds: int = 8) -> DataFrame:
+def _contexts(edges: DataFrame) -> DataFrame:
+    """type, parent, tier, at, to: edges between types as looked up along a path; at and to are a type and, in order of
+    name, the types of its cycle that the path has passed. A type outside cycles has itself alone. No edge leads back."""
+    reach = edges.select("type", F.col("parent").alias("over")).distinct()
+    size = -1
+    while (now := reach.count()) != size:
+        size = now
+        further = reach.join(reach.select(F.col("type").alias("over"), F.col("over").alias("next")), "over").select("type", F.col("next").alias("over"))
+        reach = reach.unionByName(further).distinct().checkpoint()
+    round_ = reach.select(F.col("type").alias("parent"), F.col("over").alias("type")).withColumn("cyclic", F.lit(True))
+    edges = edges.join(round_, ["type", "parent"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False))).checkpoint()
+    fresh = seen = edges.select("type").unionByName(edges.select(F.col("parent").alias("type"))).distinct().withColumn("path", F.array("type"))
+    back = edges.filter("cyclic").select("type", "parent").distinct()
+    while not fresh.isEmpty():
+        fresh = fresh.join(back, "type").filter(~F.array_contains("path", F.col("parent"))).select(F.col("parent").alias("type"), F.array_sort(F.concat("path", F.array("parent"))).alias("path"))
+        fresh = fresh.distinct().join(seen, ["type", "path"], "left_anti").checkpoint()
+        seen = seen.unionByName(fresh)
+    out = seen.join(edges, "type").filter(~(F.col("cyclic") & F.array_contains("path", F.col("parent"))))
+    path = F.when(F.col("cyclic"), F.array_sort(F.concat("path", F.array("parent")))).otherwise(F.array("parent"))
+    return out.select("type", "parent", "tier", F.struct("type", "path").alias("at"), F.struct(F.col("parent").alias("type"), path.alias("path")).alias("to"))
+
+
+def inherited(types: DataFrame, methods: DataFrame) -> DataFrame:
     """type, method, owner, state: own methods, else the parents' through traits, then classes, then interfaces.
 
-    One owner is `unique`, several are `ambiguous`, and ambiguity sticks. Each round settles types one level further;
-    a type on a cycle finds nothing new, so rounds end when nothing changes.
+    One owner is `unique`, several are `ambiguous`, and ambiguity sticks. Each round settles types one level further,
+    and rounds end when no row changes. A type on the path of the lookup has nothing, as in the reference.
     """
     tier = F.when(F.col("relation") == "trait", 0).when(F.col("relation") == "extends", 1).otherwise(2)
-    known = methods.select("type", "method", F.col("type").alias("owner"), F.lit("unique").alias("state")).distinct()
-    edges = types.select("type", F.col("parent"), tier.alias("tier")).distinct()
-    size = known.count()
-    for _ in range(rounds):
-        up = known.select(F.col("type").alias("parent"), "method", "owner", "state").join(edges, "parent")
-        up = up.groupBy("type", "method", "tier").agg(F.count_distinct("owner").alias("owners"), F.min("owner").alias("owner"), F.max(F.when(F.col("state") == "ambiguous", 1).otherwise(0)).alias("stuck"))
-        up = up.groupBy("type", "method").agg(F.min_by(F.struct("owners", "owner", "stuck"), "tier").alias("v"))
-        up = up.select("type", "method", "v.owner", F.when((F.col("v.owners") > 1) | (F.col("v.stuck") == 1), "ambiguous").otherwise("unique").alias("state"))
-        own = methods.select("type", "method").distinct()
-        known = methods.select("type", "method", F.col("type").alias("owner"), F.lit("unique").alias("state")).distinct().unionByName(up.join(own, ["type", "method"], "left_anti")).checkpoint()
-        now = known.count()
-        if now == size:
+    edges = _contexts(types.select("type", F.col("parent"), tier.alias("tier")).distinct()).checkpoint()
+    have = methods.select("type", "method").distinct()
+    places = edges.select("at").unionByName(edges.select(F.col("to").alias("at"))).unionByName(methods.select(F.struct("type", F.array("type").alias("path")).alias("at"))).distinct()
+    own = places.join(have, F.col("at.type") == F.col("type")).select("at", "method", F.col("type").alias("owner"), F.lit("unique").alias("state")).checkpoint()
+    known = own
+    while True:
+        up = known.withColumnRenamed("at", "to").join(edges, "to")
+        up = up.groupBy("at", "method", "tier").agg(F.count_distinct("owner").alias("owners"), F.min("owner").alias("owner"), F.max(F.when(F.col("state") == "ambiguous", 1).otherwise(0)).alias("stuck"))
+        up = up.groupBy("at", "method").agg(F.min_by(F.struct("owners", "owner", "stuck"), "tier").alias("v"))
+        up = up.select("at", "method", "v.owner", F.when((F.col("v.owners") > 1) | (F.col("v.stuck") == 1), "ambiguous").otherwise("unique").alias("state"))
+        after = own.unionByName(up.join(own, ["at", "method"], "left_anti")).checkpoint()
+        if after.exceptAll(known).isEmpty() and known.exceptAll(after).isEmpty():
             break
-        size = now
-    return known
+        known = after
+    return known.filter(F.col("at.path") == F.array("at.type")).select("at.type", "method", "owner", "state")
 
 
 def admit(sizes: list[tuple[str, int]], max_files: int, max_file: int, max_total: int) -> list[str]:

@@ -80,6 +80,35 @@ def test_inheritance_prefers_traits_and_keeps_ambiguity(spark):
     assert got["C"] == ("T", "unique") and got["D"] == ("T", "unique") and got["E"][1] == got["F"][1] == "ambiguous" and "X" not in got
 
 
+def plain_inherited(types, methods):
+    """The reference's recursive lookup: traits, then classes, then interfaces; a type on the path has nothing."""
+
+    def look(t, m, path):
+        if t in path:
+            return None
+        if (t, m) in methods:
+            return t, "unique"
+        for kind in ("trait", "extends", "implements"):
+            found = {x for a, p, k in types if (a, k) == (t, kind) and (x := look(p, m, {*path, t}))}
+            if found:
+                return min(found)[0], "ambiguous" if len(found) > 1 or any(s == "ambiguous" for _, s in found) else "unique"
+        return None
+
+    names = {x for t in types for x in t[:2]} | {t for t, _ in methods}
+    return {(t, m): x for t in names for m in {m for _, m in methods} if (x := look(t, m, set()))}
+
+
+def test_inheritance_of_any_depth_and_on_cycles(spark):
+    types = [("D", "C", "extends"), ("C", "P", "extends"), ("C", "T", "trait"), ("T", "T2", "trait"), ("T2", "T3", "trait")]
+    types += [(f"L{i}", f"L{i + 1}", "extends") for i in range(12)]
+    types += [("X", "Y", "trait"), ("Y", "X", "trait"), ("X", "Q", "extends"), ("Y", "R", "extends"), ("Z", "X", "extends")]
+    methods = [("P", "m"), ("T3", "m"), ("L12", "m"), ("Q", "m"), ("R", "m")]
+    got = delta.inherited(spark.createDataFrame(types, "type string, parent string, relation string"), spark.createDataFrame(methods, "type string, method string"))
+    got = {(r.type, r.method): (r.owner, r.state) for r in got.collect()}
+    assert got["D", "m"] == ("T3", "unique") and got["L0", "m"] == ("L12", "unique") and got["X", "m"] == ("R", "unique") and got["Y", "m"] == ("Q", "unique")
+    assert got == plain_inherited(types, methods)
+
+
 def test_budgets():
     assert delta.admit([("a", 5), ("b", 50), ("c", 6), ("d", 4)], 3, 20, 10) == ["a", "d"]
     assert delta.split_budget(10, {"x": 1, "y": 2, "z": 0}) == {"x": 3, "y": 7, "z": 0}
