@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import common
 
 WIDTH, SIDE, LOW, LEVEL = 64, 32, 8, 1
+#: Of stored images: each row less the one above.
+ROW_FILTER = 2
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _i = np.arange(SIDE)
 _COS = np.cos(np.pi / SIDE * (_i[None, :] + 0.5) * _i[:LOW, None])
@@ -118,7 +120,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         media, size = [], []
         for t in texts:
             raw, n = payload(t)
-            media.append(write_png(np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)))
+            media.append(write_png(np.frombuffer(raw, np.uint8).reshape(-1, WIDTH), ROW_FILTER))
             size.append(n)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 

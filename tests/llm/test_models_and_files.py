@@ -313,3 +313,10 @@ def test_languages_of_short_long_and_unspaced_texts_are_learned(spark):
     model = language.fit(df, F.lit(True))
     assert model.labels == list(words)
     assert model.predict(list(words.values()), {})[0] == list(words)
+
+
+def test_stored_images_have_filtered_rows(odd):
+    for r in media.store(odd).collect():
+        at = r.media.index(b"IDAT")
+        rows = np.frombuffer(zlib.decompress(r.media[at + 4 : at + 4 + int.from_bytes(r.media[at - 4 : at], "big")]), np.uint8)
+        assert (rows.reshape(-1, media.WIDTH + 1)[:, 0] == media.ROW_FILTER).all() and media.ROW_FILTER
