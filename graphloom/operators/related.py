@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import resolve
+from graphloom.operators import ranges, resolve
 from graphloom.schema import EDGE_KINDS, PRECISION, rank
 
 #: Representative places of a group.
@@ -100,11 +100,10 @@ def running_total(rows: DataFrame, order: str, value: Column) -> DataFrame:
     Rows are dealt to ranges of order; each range sums by itself and gets the sums of the ranges before it (as many
     numbers as ranges). No task sees more than a range.
     """
-    spark = rows.sparkSession
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000)).first()[0] or []))
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<long>") if cuts else F.array().cast("array<long>")
-    rows = rows.withColumns({"_value": value, "_range": F.size(F.filter(bounds, lambda b: b < F.col(order)))})
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A row of a cut's order belongs below it, so cuts are moved up by one.
+    cuts = [c + 1 for c in ranges.quantile_cuts(rows, order, parts)]
+    rows = ranges.with_range(rows.withColumn("_value", value), order, cuts, "_range")
     sums = dict(rows.groupBy("_range").agg(F.sum("_value")).collect())
     before, so_far = [], 0
     for i in range(len(cuts) + 1):

@@ -7,6 +7,7 @@ revision the second finds the number taken and fails (compare and swap). A faile
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,10 +23,18 @@ class NotFresh(RuntimeError):
     pass
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may do without, in a temporary one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+    now = sc._jsc.sc().getCheckpointDir()
+    root = now.get() if now.nonEmpty() else sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="graphloom-")
+    if now.isEmpty():
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 class Store:

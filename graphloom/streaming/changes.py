@@ -6,7 +6,6 @@ replaces its own increment; the state is the sum of increments.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +18,7 @@ STATE = "change string, file long, events long, last_epoch long, batch long"
 
 def reconcile(spark: SparkSession, root: str, per_trigger: int = 1) -> DataFrame:
     """Runs the stream over root's events to its end and returns the state: change, file, events, last_epoch."""
-    ensure_checkpoint_dir(spark)
-    base = (spark.sparkContext._jsc.sc().getCheckpointDir().get() or tempfile.mkdtemp()) + f"/changes-{uuid.uuid4().hex}"
+    base = f"{ensure_checkpoint_dir(spark)}/changes-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{root}/events.parquet").schema
 
     def merge(df: DataFrame, batch: int) -> None:
