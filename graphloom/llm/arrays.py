@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_ODD = 0x9E3779B97F4A7C15
-_powers = np.ones(1, U)
+_ODD = U(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -19,15 +18,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        p = np.full(max(n, 1024), _ODD, U)
-        p[0] = 1
-        _powers = np.multiply.accumulate(p)
-    return _powers
-
-
 def code_points(texts: list[str], sep: str) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each followed by sep, and where each text starts (one entry more than texts)."""
     joined = sep.join(texts) + sep
@@ -36,19 +26,36 @@ def code_points(texts: list[str], sep: str) -> tuple[np.ndarray, np.ndarray]:
     return cp, np.concatenate(([0], np.cumsum(lengths)))
 
 
+def flat_index(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions start, start + 1, ... of all segments one after another, each one's place in its segment, and where each
+    segment begins among them."""
+    first = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
+    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
+    return np.repeat(starts, lengths) + place, place, first
+
+
 def segment_hash(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each segment cp[start:end]; segments are ascending and disjoint."""
+    """A 64-bit hash of each segment cp[start:end], none of them empty.
+
+    Each (place, code point) is mixed by itself before they are summed, so no arithmetic of the code points carries over:
+    texts built against sums of powers don't collide here.
+    """
     if not len(starts):
         return np.zeros(0, U)
-    lengths = ends - starts
-    offset = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    at = np.arange(len(offset), dtype=np.int64)
-    local = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    pos = at - np.repeat(local, lengths)
-    prod = cp[at + offset].astype(U)
-    prod += U(1)
-    prod *= powers(int(lengths.max()) + 1)[pos]
-    return mix64(np.add.reduceat(prod, local) + lengths.astype(U))
+    at, place, first = flat_index(starts, ends - starts)
+    x = place.view(U)
+    x <<= U(21)
+    x |= cp[at]
+    x += _ODD
+    return mix64(np.add.reduceat(mix64(x), first) + (ends - starts).astype(U))
+
+
+def same_segments(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether a[start:start + length] and b[start:start + length] are equal, for each segment; none is empty."""
+    if not len(lengths):
+        return np.zeros(0, bool)
+    at, place, first = flat_index(a_starts, lengths)
+    return np.logical_and.reduceat(a[at] == b[np.repeat(b_starts, lengths) + place], first)
 
 
 def words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

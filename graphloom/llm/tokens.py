@@ -1,8 +1,9 @@
 """Token ids of whole texts, as the tokenizers library gives them.
 
 Both tokenizer files cut a text into pieces (words, numbers, punctuation, blanks) and encode each piece by
-itself. So a piece's ids are asked of the library once and kept by the piece's hash; the cutting runs in numpy.
-A text with a character beyond the ranges below, or with the string of an added token such as <|endoftext|>, goes to the
+itself. So a piece's ids are asked of the library once and kept by the piece's hash, beside its code points; the cutting
+runs in numpy. Each piece found by its hash is compared with the kept one. A text with a piece that differs from the kept
+one, with a character beyond the ranges below, or with the string of an added token such as <|endoftext|>, goes to the
 library whole.
 """
 
@@ -14,7 +15,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from graphloom.llm.arrays import HashTable, code_points, segment_hash
+from graphloom.llm.arrays import HashTable, code_points, flat_index, same_segments, segment_hash
 
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
 #: Beyond this code point a text is encoded by the library itself.
@@ -54,6 +55,8 @@ class Encoder:
     def forget(self) -> None:
         self.table, self.flat, self.used = HashTable(18), np.zeros(1 << 20, np.uint32), 0
         self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.chars, self.chars_used = np.zeros(1 << 20, np.uint32), 0
+        self.spelled, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.lib.encode_batch(texts, add_special_tokens=False)]
@@ -71,10 +74,7 @@ class Encoder:
         cp, first = code_points(texts, _MARK)
         odd = self._odd(texts, cp, first)
         if len(odd):
-            whole = dict(zip(odd.tolist(), self._library([texts[i] for i in odd]), strict=True))
-            flat, at = self.encode(["" if i in whole else t for i, t in enumerate(texts)])
-            parts = [whole.get(i, flat[at[i] : at[i + 1]]) for i in range(len(texts))]
-            return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            return self._some_whole(texts, odd)
         cp = np.minimum(cp, np.uint32(LAST + 1))
         kind = self.kind[cp]
         if self.style == "word":
@@ -86,11 +86,21 @@ class Encoder:
         keep = k != BREAK if self.style == "byte" else (k != BREAK) & (k != SPACE)
         starts, ends = starts[keep], ends[keep]
         number = self._numbers(cp, starts, ends)
+        other = self.size[number] != ends - starts
+        other[~other] = ~same_segments(cp, starts[~other], self.chars, self.spelled[number[~other]], (ends - starts)[~other])
+        if other.any():
+            return self._some_whole(texts, np.unique(np.searchsorted(first, starts[other], "right") - 1))
         n = self.count[number].astype(np.int64)
         to = np.concatenate(([0], np.cumsum(n)))
         ids = self.flat[np.arange(to[-1]) + np.repeat(self.begin[number] - to[:-1], n)]
         return ids, to[np.searchsorted(starts, first)]
 
+    def _some_whole(self, texts: list[str], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        whole = dict(zip(which.tolist(), self._library([texts[i] for i in which]), strict=True))
+        flat, at = self.encode(["" if i in whole else t for i, t in enumerate(texts)])
+        parts = [whole.get(i, flat[at[i] : at[i + 1]]) for i in range(len(texts))]
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
     def _cut(self, cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Flags the first code point of each piece. Texts end in BREAK."""
         start = np.empty(len(cp), bool)
@@ -128,21 +138,28 @@ class Encoder:
         at = fresh[at]
         pieces = [cp[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         ids = [[t.id for t in self.tokenize(p.encode().decode("latin-1").translate(self.letters))] for p in pieces]
-        n, size = self.table.n, np.array([len(x) for x in ids], np.int32)
+        n, count, size = self.table.n, np.array([len(x) for x in ids], np.int32), ends[at] - starts[at]
         self.table.add(new)
         while self.table.n > len(self.begin):
-            self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
-        total = int(size.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.begin[n : self.table.n] = self.used + np.concatenate(([0], np.cumsum(size)[:-1]))
-        self.count[n : self.table.n] = size
-        self.flat[self.used : self.used + total] = [x for p in ids for x in p]
-        self.used += total
+            self.begin, self.count, self.spelled, self.size = (np.resize(x, 2 * len(x)) for x in (self.begin, self.count, self.spelled, self.size))
+        own = slice(n, self.table.n)
+        self.flat = _room(self.flat, self.used + int(count.sum()))
+        self.begin[own], self.count[own] = self.used + np.concatenate(([0], np.cumsum(count)[:-1])), count
+        self.flat[self.used : self.used + int(count.sum())] = [x for p in ids for x in p]
+        self.used += int(count.sum())
+        where, _, first = flat_index(starts[at], size)
+        self.chars = _room(self.chars, self.chars_used + len(where))
+        self.spelled[own], self.size[own] = self.chars_used + first, size
+        self.chars[self.chars_used : self.chars_used + len(where)] = cp[where]
+        self.chars_used += len(where)
         number[fresh] = self.table.find(h[fresh])
         return number
 
 
+def _room(x: np.ndarray, need: int) -> np.ndarray:
+    return x if need <= len(x) else np.resize(x, max(need, 2 * len(x)))
+
+
 def encoder(name: str, style: str) -> Encoder:
     """name: a file of public_tokenizers; style: "byte" or "word", the way that file cuts texts."""
     if (name, style) not in _loaded:
