@@ -16,11 +16,11 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ BITS, SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, LENGTH, RATE = 16, 400, 20_000, 2, 25
 #: Characters in a batch of training sequences (or one sequence), as unspaced text has long words.
 BATCH_CHARS = 1_000_000
 KEPT = 1_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(mod: int, rest: int) -> Column:
