@@ -70,8 +70,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 class Machine:
     def __init__(self, seed: int = 5):
-        rng, n = np.random.default_rng(seed), (1 << BITS) + STATS
-        self.w0, self.w, self.v = 0.0, np.zeros(n, np.float32), rng.normal(0, 0.02, (n, FACTORS)).astype(np.float32)
+        self.seed, n = seed, (1 << BITS) + STATS
+        self.w0, self.w, self.v = 0.0, np.zeros(n, np.float32), np.zeros((n, FACTORS), np.float32)
         self.mean, self.scale = np.zeros(STATS), np.ones(STATS)
 
     def rows(self, f) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +103,7 @@ class Machine:
         f = (*(np.concatenate([p[k] for p in parts]) for k in (0, 1)), where, np.concatenate([p[3] for p in parts]))
         self.mean, self.scale = f[3].mean(0), f[3].std(0) + 1e-6
         index, value, first = self.rows(f)
+        self.v = np.random.default_rng(self.seed).normal(0, 0.02, self.v.shape).astype(np.float32)
         rng = np.random.default_rng(seed)
         g0, gw, gv = 1e-3, np.full(len(self.w), 1e-3, np.float32), np.full(self.v.shape, 1e-3, np.float32)
         for _ in range(EPOCHS):
