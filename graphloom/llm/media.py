@@ -63,7 +63,10 @@ def read_png(data: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             parts.append(body)
         at += 12 + size
-    rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
+    try:
+        rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
+    except zlib.error as e:
+        raise ValueError("pixels can't be inflated") from e
     if len(rows) != height * (width + 1):
         raise ValueError("PNG has too few pixels")
     rows = rows.reshape(height, width + 1)
