@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.sources.store import ensure_checkpoint_dir
+
 #: Rows in one Arrow batch sent to Python; long texts make larger rows than Spark's default expects.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
@@ -18,25 +19,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); an own one only where that is unset."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="graphloom-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """The folder all executors share (spark.checkpoint.dir); only a local session gets one of its own where that is unset."""
+    return ensure_checkpoint_dir(spark)
+
+
+def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    instead_of: a table of an earlier round that nothing reads any more once df is written; its files go.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        discard(instead_of)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that no later step reads."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batch sizes, and leaves them so: plans made later, when rows are asked for, read them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
