@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
+from graphloom.operators import ranges
 
 #: Repeated digests up to this number are broadcast (32 bytes each); more are joined by a shuffle.
 BROADCAST_DIGESTS = 100_000
@@ -72,16 +73,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows are dealt to buckets of neighbouring doc_ids (several for each shuffle partition); each bucket also gets a
     copy of the first row after it. So the texts are shuffled once, and no task holds more than a bucket.
     """
-    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(_LEAST)))
-    cuts = docs.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    docs = docs.withColumn("bucket", F.size(F.filter(bounds, lambda b: b <= F.col("k"))))
+    cuts = ranges.quantile_cuts(docs, "k", 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    docs = ranges.with_range(docs, "k", cuts, "bucket")
     heads = sorted((r[0], r[1]) for r in docs.select("k", "bucket").groupBy("bucket").agg(F.min("k")).collect())
     if not heads:
         return docs.select("doc_id", "text", "fingerprint", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
-    ahead = [(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)]  # at most n rows
+    ahead = [(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)]  # one row a bucket at most
     ahead = docs.sparkSession.createDataFrame(ahead, "k long, before int")
     first = docs.join(F.broadcast(ahead), "k").groupBy("k", "before").agg(F.min(F.struct("text", "fingerprint")).alias("h"))
     first = first.select(F.lit(None).cast("long").alias("doc_id"), F.col("h.text").alias("text"), F.col("h.fingerprint").alias("fingerprint"), "k", F.col("before").alias("bucket"), F.lit(True).alias("copy"))
