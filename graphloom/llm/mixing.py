@@ -30,10 +30,10 @@ def size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """null_source, source (not null), and the words and hash of each document beside its own columns in `doc`."""
+def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """null_source, source (not null), and the words and hash of each document beside its columns `keep` in `doc`."""
     return docs.select(
-        F.struct(*docs.columns).alias("doc"),
+        F.struct(*keep).alias("doc"),
         F.col("source").isNull().alias("null_source"),
         F.coalesce("source", F.lit("")).alias("source"),
         size(F.col("text")).alias("size"),
@@ -82,7 +82,7 @@ def balance(hist: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
         s = s.withColumn("next", F.when((F.col("df") > 0) & (step > F.col("lo")) & (step < F.col("hi")), step).otherwise((F.col("lo") + F.col("hi")) / 2))
         go = F.col("open") & (F.abs(off) > CLOSE * F.col("target")) & (F.col("hi") - F.col("lo") > 1e-13)
         s = s.withColumn("go", F.coalesce(go, F.lit(False))).withColumn("lambda", F.when(F.col("go"), F.col("next")).otherwise(F.col("lambda")))
-        state = common.materialise(s.withColumn("open", F.col("go")).select(*state.columns), "lambda")
+        state = common.materialise(s.withColumn("open", F.col("go")).select(*state.columns), "lambda", state)
     return state.drop("lo", "hi", "open")
 
 
@@ -94,8 +94,9 @@ def thresholds(rows: DataFrame, state: DataFrame, most: int = MOST) -> DataFrame
     v = _decided(rows, state, most).filter("size > 0").select(*_SOURCE, "size", "whole", "v")
     fixed = v.groupBy(*_SOURCE).agg(F.sum(F.col("size") * F.col("whole")).alias("got"))
     cut = state.join(fixed, _SOURCE, "left").withColumns({"got": F.coalesce("got", F.lit(0)).cast("double"), "at": F.lit(0.0), "width": F.lit(2.0)})
+    last = None
     for _ in range(3):
-        cut = common.materialise(cut, "thresholds")
+        cut = last = common.materialise(cut, "thresholds", last)
         bins = v.filter(F.col("whole") < most).join(cut.select(*_SOURCE, "at", "width"), _SOURCE).filter((F.col("v") >= F.col("at")) & (F.col("v") < F.col("at") + F.col("width")))
         bins = bins.groupBy(*_SOURCE, F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("at")) / F.col("width") * BINS)).alias("bin")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy(*_SOURCE).orderBy("bin")
@@ -108,7 +109,7 @@ def thresholds(rows: DataFrame, state: DataFrame, most: int = MOST) -> DataFrame
             "got": F.coalesce("base", "got"),
             "closer": F.coalesce(F.col("after") - F.col("target") < F.col("target") - F.col("base"), F.lit(False)),
         }).select(*state.columns, "got", "at", "width", "closer")
-    return common.materialise(cut.select(*state.columns, F.when(F.col("closer"), F.col("at") + F.col("width")).otherwise(F.col("at")).alias("below")), "thresholds")
+    return common.materialise(cut.select(*state.columns, F.when(F.col("closer"), F.col("at") + F.col("width")).otherwise(F.col("at")).alias("below")), "thresholds", last)
 
 
 def _decided(rows: DataFrame, state: DataFrame, most: int) -> DataFrame:
@@ -116,17 +117,21 @@ def _decided(rows: DataFrame, state: DataFrame, most: int) -> DataFrame:
     return r.withColumn("v", F.col("u") + 1 - (F.col("rate") - F.col("whole")))
 
 
-def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """Each document (its columns in the struct `doc`) with size, source_size, target, rate and copies."""
-    keyed = _keyed(docs)
-    rows = common.materialise(keyed.drop("doc"), "sizes")
+def mix(docs: DataFrame, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
+    """Each document (its columns `keep` in the struct `doc`; all by default) with size, source_size, target, rate, copies.
+
+    Columns without the text are stored beside the sizes, so that texts are read once; with it, once more at the end.
+    """
+    keep = docs.columns if keep is None else keep
+    keyed, slim = _keyed(docs, keep), "text" not in keep
+    rows = common.materialise(keyed if slim else keyed.drop("doc"), "sizes")
     hist = common.materialise(rows.groupBy(*_SOURCE, "size").agg(F.count("*").alias("n")), "size-histogram")
     state = thresholds(rows, balance(hist, targets(hist, most), most), most)
-    out = _decided(keyed, state, most)
+    out = _decided(rows if slim else keyed, state, most)
     extra = ((F.col("whole") < most) & (F.col("v") < F.col("below"))).cast("long")
     return out.select("doc", "size", "source_size", "target", "rate", (F.col("whole") + extra).alias("copies"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mix(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
+    m = mix(common.documents(spark, sf_dir), keep=["doc_id"])
     return m.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
