@@ -84,7 +84,8 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray,
 
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, style: str, window: int, end: int) -> Iterator[pa.RecordBatch]:
     enc, base, full = encoder(tokenizer, style), TaskContext.get().partitionId() << 40, 0
-    rest: list[tuple] = []
+    # Remainders: doc_ids, and start, length, crc and tokens as numbers, 40 bytes each.
+    rest: list[tuple[pa.Array, np.ndarray]] = []
 
     def rows(doc, start, length, crc, tokens, seq, offset, used):
         used = np.asarray(used)
@@ -95,7 +96,9 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, style: str, window:
         ids, at = enc.encode(texts)
         raw, out = memoryview(ids.astype("<u4").tobytes()), []
         tail = end.to_bytes(4, "little")
-        for doc, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+        docs = batch.column("doc_id").cast(pa.int64())
+        left = np.zeros((4, len(texts)), np.int64)
+        for i, (doc, a, b) in enumerate(zip(docs.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
             n = b - a + 1
             for s in range(0, n - n % window, window):
                 e = s + window
@@ -104,15 +107,18 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, style: str, window:
                 full += 1
             if n % window:
                 s = n - n % window
-                rest.append((doc, s, n - s, zlib.crc32(tail, zlib.crc32(raw[4 * (a + s) : 4 * b])), n))
+                left[:, i] = s, n - s, zlib.crc32(tail, zlib.crc32(raw[4 * (a + s) : 4 * b])), n
         if out:
             yield rows(*zip(*out, strict=True))
+        short = np.flatnonzero(left[1])
+        rest.append((docs.take(pa.array(short)), left[:, short]))
     if rest:
-        doc, start, length, crc, tokens = zip(*rest, strict=True)
-        to, offset, used = best_fit(np.array(length, np.int64), window)
-        for i in range(0, len(doc), 50_000):
-            j = i + 50_000
-            yield rows(doc[i:j], start[i:j], length[i:j], crc[i:j], tokens[i:j], full + to[i:j], offset[i:j], used[to[i:j]])
+        docs = pa.chunked_array([d for d, _ in rest], pa.int64())
+        start, length, crc, tokens = np.concatenate([x for _, x in rest], 1)
+        to, offset, used = best_fit(length, window)
+        for i in range(0, len(docs), 50_000):
+            j = slice(i, i + 50_000)
+            yield rows(docs[j].combine_chunks(), start[j], length[j], crc[j], tokens[j], full + to[j], offset[j], used[to[j]])
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", style: str = "byte", window: int = WINDOW, end: int = END) -> DataFrame:
