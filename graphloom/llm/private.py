@@ -82,9 +82,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-_FOUND = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, digest binary, entities array<long>, text string"
+_FOUND = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, digest binary, entities array<long>, text string, hit boolean"
 _TERMS = "array<struct<s:int,f:int,share:double>>"
-_MARKED = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, terms {_TERMS}, uid long"
+_MARKED = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, terms {_TERMS}, uid long, clean string"
 
 
 def _entity(kind: int, value: str) -> int:
@@ -106,18 +106,19 @@ def _free_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[free], s[free], f[free]
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], all_texts: bool) -> Iterator[pa.RecordBatch]:
+    """One row for each text; the text itself goes along if it has spans, or always."""
     uid = TaskContext.get().partitionId() << 40
     for batch, texts in common.text_chunks(batches):
         rows: list[tuple] = []
-        for text in texts:
+        for given, text in zip(batch.column("text").to_pylist(), texts, strict=True):
             spans = base_spans(text)
             said = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
             n = [sum(x[1] == k for x in spans) for k in range(4)]
-            rows.append((uid, *n, hashlib.sha256(said.encode()).hexdigest(), said, _digest(text), sorted({_entity(k, text[a:b]) for a, k, b in spans}), text if spans else None))
+            rows.append((uid, *n, hashlib.sha256(said.encode()).hexdigest(), said, _digest(text), sorted({_entity(k, text[a:b]) for a, k, b in spans}), given if spans or all_texts else None, bool(spans)))
             uid += 1
         c = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), batch.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in c[1:5]), pa.array(c[5]), pa.array(c[6]), pa.array(c[7], pa.binary()), pa.array(c[8], pa.list_(pa.int64())), pa.array(c[9], pa.string())], ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "digest", "entities", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), batch.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in c[1:5]), pa.array(c[5]), pa.array(c[6]), pa.array(c[7], pa.binary()), pa.array(c[8], pa.list_(pa.int64())), pa.array(c[9], pa.string()), pa.array(c[10])], ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "digest", "entities", "text", "hit"])
 
 
 def _bit(h: np.ndarray) -> np.ndarray:
@@ -209,11 +210,12 @@ def _text_terms(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), uid)), pa.array(np.full(len(t), e)), pa.array(t)], ["uid", "e", "t"])
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mark(batches: Iterator[pa.RecordBatch], clean: bool) -> Iterator[pa.RecordBatch]:
+    """All spans of each row, and its text without them where that is asked for."""
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     for batch, texts in common.text_chunks(batches):
-        spans, terms = [], []
-        for base, shown, text in zip(batch.column("base").to_pylist(), batch.column("shown").to_pylist(), texts, strict=True):
+        spans, terms, after = [], [], []
+        for base, shown, given, text in zip(batch.column("base").to_pylist(), batch.column("shown").to_pylist(), batch.column("text").to_pylist(), texts, strict=True):
             found = []
             if shown:
                 share = {x["t"]: x["share"] for x in shown}
@@ -223,20 +225,22 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             said += [(x["s"], len(KINDS), f"term:{x['s']}:{x['f']}") for x in found]
             spans.append(",".join(x for _, _, x in sorted(said)))
             terms.append(found)
+            after.append((rewrite(text, spans[-1], {x["s"]: x["share"] for x in found}) if spans[-1] else given) if clean else None)
         kind = pa.list_(pa.struct([("s", pa.int32()), ("f", pa.int32()), ("share", pa.float64())]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(spans, pa.string()), pa.array([len(x) for x in terms], pa.int64()), pa.array(terms, kind), batch.column("uid")], [*names, "spans", "n_term", "terms", "uid"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(spans, pa.string()), pa.array([len(x) for x in terms], pa.int64()), pa.array(terms, kind), batch.column("uid"), pa.array(after, pa.string())], [*names, "spans", "n_term", "terms", "uid", "clean"])
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_term of every row, and uid, a key of the row."""
+def find(docs: DataFrame, clean: bool = False) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term and terms of every row, uid, a key of the row,
+    and, where asked for, clean, the text without what was found."""
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select("doc_id", "text")
-    found = common.materialise(docs.mapInArrow(_find, _FOUND), "personal-data")
+    found = common.materialise(docs.mapInArrow(lambda it: _find(it, clean), _FOUND), "personal-data")
     texts = common.materialise(found.groupBy("digest").agg(F.count("*").alias("copies")), "distinct-texts")
     n = max(texts.count(), 2)
     copies = _bitmap(texts.filter("copies > 1").select("digest"), lambda b: _bit(np.frombuffer(b"".join(x[:8] for x in b.column(0).to_pylist()), U)))
-    held = found.filter("text IS NOT NULL").groupBy("digest").agg(F.min("uid").alias("uid"), F.first("entities").alias("entities"), F.first("text").alias("text"))
+    held = found.filter("hit").groupBy("digest").agg(F.min("uid").alias("uid"), F.first("entities").alias("entities"), F.first("text").alias("text"))
     held = common.materialise(held, "texts-with-entities")
     entity = common.materialise(held.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("df_e")), "entities")
     at = held.select("uid", F.explode("entities").alias("e")).join(entity, "e")
@@ -263,7 +267,7 @@ def find(docs: DataFrame) -> DataFrame:
     several = several.join(common.materialise(shown, "disclosing-pairs"), ["e", "t"]).select("uid", "t", "share")
     hit = one.unionByName(several).groupBy("uid", "t").agg(F.max("share").alias("share")).groupBy("uid").agg(F.collect_list(F.struct("t", "share")).alias("shown"))
     hit = held.select("uid", "digest").join(hit, "uid").select("digest", "shown")
-    return found.join(hit, "digest", "left").select("uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "text", "shown").mapInArrow(_mark, _MARKED)
+    return found.join(hit, "digest", "left").select("uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "text", "shown").mapInArrow(lambda it: _mark(it, clean), _MARKED)
 
 
 def _shape(word: str) -> str:
@@ -286,11 +290,9 @@ def rewrite(text: str, spans: str, share: dict[int, float] | None = None) -> str
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id, text without personal data. A doc_id must name one text here."""
-    spans = find(docs).filter("spans != ''").select("doc_id", "spans", F.map_from_entries(F.transform(F.coalesce("terms", F.array().cast("array<struct<s:int,f:int,share:double>>")), lambda x: F.struct(x["s"], x["share"]))).alias("share"))
-    rewriter = F.udf(lambda t, s, m: rewrite(t or "", s, m) if s else t, "string")
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", rewriter("text", "spans", "share").alias("text"))
+    """doc_id, text of every row, without personal data; a null text stays null."""
+    return find(docs, clean=True).select("doc_id", F.col("clean").alias("text"))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(common.documents(spark, sf_dir)).drop("terms", "uid")
+    return find(common.documents(spark, sf_dir)).drop("terms", "uid", "clean")

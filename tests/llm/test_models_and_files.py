@@ -254,6 +254,14 @@ def test_disclosing_term_is_found(spark, odd, empty):
     assert private.find(odd).count() == 9 and private.find(empty).count() == 0
 
 
+def test_rows_without_or_with_one_doc_id_are_sanitised(spark):
+    rows = [(None, "write to joe@x.org"), (1, "or ann@y.org"), (1, "no data"), (1, None), (None, ""), (2, "call +1 (555) 123-4567 now")]
+    got = private.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = sorted(((r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "") for r in got))
+    assert len(got) == 6 and sum(t[2] for t in text) == 1 and "no data" in {t[3] for t in text}
+    assert not any("@" in t[3] or "123" in t[3] for t in text) and sum("<" in t[3] for t in text) == 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(min_size=1, max_size=400), st.sampled_from([0, 1, 2]))
 def test_png_round_trip(raw, kind):
