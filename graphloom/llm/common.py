@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,10 @@ def shared_root(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 
 
+#: Paths of the tables written within settle(), innermost last.
+_scopes: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -35,6 +39,20 @@ def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -
         discard(instead_of)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _scopes:
+        _scopes[-1].append(path)
+    return out
+
+
+def settle(make: Callable[[], DataFrame], name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Materialises what make() returns, and deletes the tables it has written on the way."""
+    _scopes.append([])
+    try:
+        out = materialise(make(), name, instead_of)
+        for path in _scopes[-1][:-1]:
+            _delete(out.sparkSession, path)
+    finally:
+        _scopes.pop()
     return out
 
 
@@ -42,8 +60,12 @@ def discard(df: DataFrame) -> None:
     """Deletes the files of a materialised table that no later step reads."""
     path = getattr(df, "_stored_at", None)
     if path:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession) -> None:
