@@ -22,9 +22,15 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def innermost(points: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Containment join: the smallest symbol of the same path and name around a line (start <= line < end)."""
-    j = points.join(symbols.select("path", "name", "id", "start_line", "end_line"), ["path", "name"]).filter("start_line <= line AND line < end_line")
-    return j.groupBy("point", "path", "name", "line").agg(F.min(F.struct(F.col("end_line") - F.col("start_line"), F.col("id"))).alias("m")).select("point", "path", "name", "line", F.col("m.id").alias("id"))
+    """Containment join: the smallest symbol of the same path and name around a place (start <= place < end), by lines,
+    then by the distance of its columns, then by id. Columns count where both tables have them (col; start_col, end_col)."""
+    cols = {"start_col", "end_col"} <= set(symbols.columns) and "col" in points.columns
+    ends = ["start_col", "end_col"] if cols else []
+    j = points.join(symbols.select("path", "name", "id", "start_line", "end_line", *ends), ["path", "name"])
+    width = [F.abs(F.col("end_col") - F.col("start_col"))] if cols else []
+    j = j.filter("(start_line, start_col) <= (line, col) AND (line, col) < (end_line, end_col)" if cols else "start_line <= line AND line < end_line")
+    key = ["point", "path", "name", "line", *(["col"] if cols else [])]
+    return j.groupBy(*key).agg(F.min(F.struct(F.col("end_line") - F.col("start_line"), *width, F.col("id"))).alias("m")).select(*key, F.col("m.id").alias("id"))
 
 
 def prefer_precise(precise: DataFrame, syntax: DataFrame) -> DataFrame:
@@ -34,10 +40,18 @@ def prefer_precise(precise: DataFrame, syntax: DataFrame) -> DataFrame:
 
 
 def first_unique(requests: DataFrame, targets: DataFrame) -> DataFrame:
-    """Named relations: the first candidate name (by position) that exactly one symbol has; others are passed over."""
-    cand = requests.select("request", F.posexplode("names").alias("position", "qualified_name"))
-    unique = targets.groupBy("qualified_name").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
-    return cand.join(unique, "qualified_name").groupBy("request").agg(F.min_by("id", "position").alias("target"))
+    """Named relations: the first candidate name (by position) that exactly one symbol has; others are passed over.
+
+    Where requests say which kinds a target may have (kinds, in order of preference), a name is looked up in each kind by
+    itself, so that a class and a function of one name don't stand in each other's way.
+    """
+    cand = requests.select("request", F.posexplode("names").alias("position", "qualified_name"), *(["kinds"] if "kinds" in requests.columns else []))
+    if "kinds" not in requests.columns:
+        unique = targets.groupBy("qualified_name").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+        return cand.join(unique, "qualified_name").groupBy("request").agg(F.min_by("id", "position").alias("target"))
+    cand = cand.select("request", "position", "qualified_name", F.posexplode("kinds").alias("preference", "kind"))
+    unique = targets.groupBy("qualified_name", "kind").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return cand.join(unique, ["qualified_name", "kind"]).groupBy("request").agg(F.min_by("id", F.struct("position", "preference")).alias("target"))
 
 
 def _contexts(edges: DataFrame) -> DataFrame:
@@ -105,23 +119,6 @@ def split_budget(limit: int, counts: dict[str, int]) -> dict[str, int]:
     return out
 
 
-def audit(symbols: DataFrame, edges: DataFrame, resolved: DataFrame, again: DataFrame) -> DataFrame:
-    """check, violations: ids are unique, edges and sites have their ends, and resolution gives the same again."""
-    ids = symbols.select("id")
-    checks = [
-        ("duplicate_id", ids.groupBy("id").count().filter("count > 1")),
-        ("edge_without_source", edges.join(ids, edges.src == ids.id, "left_anti")),
-        ("edge_without_target", edges.join(ids, edges.dst == ids.id, "left_anti")),
-        ("site_without_caller", resolved.join(ids, resolved.caller == ids.id, "left_anti")),
-        ("resolution_differs", multiset_difference(resolved.select("seq", "resolution", "target"), again.select("seq", "resolution", "target"))),
-    ]
-    out = None
-    for name, df in checks:
-        row = df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def gaps(events: DataFrame) -> DataFrame:
     """Per source: where the event number is not the last one plus one (each source has its own order)."""
     w = Window.partitionBy("source").orderBy("epoch")

@@ -14,6 +14,7 @@ from graphloom.schema import EDGE_KINDS, PRECISION, rank
 
 #: Representative places of a group.
 PLACES = 3
+DIRECTIONS = ["incoming", "outgoing"]
 
 
 def aggregate(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,9 +41,30 @@ def related(edges: DataFrame, symbols: DataFrame, anchors: DataFrame, kinds: lis
     return a.join(symbols.select("id", "qualified_name", F.col("kind").alias("symbol_kind"), "path"), "id").withColumn("direction", F.lit("incoming" if incoming else "outgoing"))
 
 
-def related_order(by_anchor: bool = False) -> list[Column]:
-    c = [F.col("qualified_name"), F.col("direction"), rank("edge_kind", EDGE_KINDS), F.col("id")]
-    return [F.col("anchor"), *c] if by_anchor else c
+def related_order() -> list[Column]:
+    return [F.col("qualified_name"), F.col("id"), rank("edge_kind", EDGE_KINDS)]
+
+
+def directed_order() -> list[Column]:
+    """Of relations in both directions."""
+    return [F.col("qualified_name"), rank("direction", DIRECTIONS), rank("edge_kind", EDGE_KINDS), F.col("id")]
+
+
+def diff_order() -> list[Column]:
+    return [F.col("qualified_name"), F.col("anchor"), F.col("id")]
+
+
+def diff_directed_order() -> list[Column]:
+    return [F.col("anchor"), F.col("qualified_name"), rank("direction", DIRECTIONS), F.col("id")]
+
+
+def evidence(edges: DataFrame, sites: DataFrame) -> DataFrame:
+    """CALLS and TESTS edges with form, name and qualifier of the call site they come from: the first by seq that goes
+    from src to dst on the edge's line. Other edges, and those without a site, have nulls."""
+    calls = sites.filter("resolution = 'resolved'").groupBy(F.col("caller").alias("src"), F.col("target").alias("dst"), "line")
+    calls = calls.agg(F.min_by(F.struct("form", "name", "qualifier"), "seq").alias("site"), F.lit(True).alias("call"))
+    calls = calls.withColumn("kind", F.explode(F.lit(["CALLS", "TESTS"]))).drop("call")
+    return edges.join(calls, ["kind", "src", "dst", "line"], "left").select(*edges.columns, "site.form", "site.name", "site.qualifier")
 
 
 def tests(edges: DataFrame, symbols: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -71,7 +93,41 @@ def syntax_callers(sites: DataFrame, catalog: DataFrame, anchors: DataFrame) ->
 def own_candidates(sites: DataFrame, anchors: DataFrame) -> DataFrame:
     """The anchors' own sites that aren't resolved, grouped by what they say."""
     s = sites.filter("resolution <> 'resolved'").join(anchors.select(F.col("id").alias("caller")).distinct(), "caller", "left_semi")
-    return _groups(s, ["caller", "form", "target_kind", "name", "qualifier", "resolution"])
+    hint = ["receiver_hint"] if "receiver_hint" in sites.columns else []
+    return _groups(s, ["caller", "form", "target_kind", "name", "qualifier", *hint, "resolution"])
+
+
+_SAID = ["form", "target_kind", "name", "qualifier", "receiver_hint"]
+
+
+def site_groups(sites: DataFrame, catalog: DataFrame, anchors: DataFrame, limit: int) -> DataFrame:
+    """What may be called by the anchors, and who may call them: one row a (caller, candidate), or for a site without
+    candidates one a (caller, form, target_kind, name, qualifier, receiver_hint), with sites, lines and omitted.
+
+    An ambiguous site gives its first limit + 1 candidates by id; of a caller that has resolved sites to a candidate, the
+    pair is left out. anchor says for which anchor a row is; precision is heuristic where there is a candidate.
+    """
+    key = resolve.keys_of(sites, catalog)
+    if "receiver_hint" not in sites.columns:
+        sites = sites.withColumn("receiver_hint", F.lit(None).cast("string"))
+    wanted = anchors.select(F.col("id").alias("anchor")).distinct()
+    own = sites.filter("resolution <> 'resolved'").join(wanted.withColumnRenamed("anchor", "caller"), "caller", "left_semi").withColumn("anchor", F.col("caller"))
+    first = catalog.select(*key, "id").distinct().withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).filter(F.col("rn") <= limit + 1)
+    own = own.drop("target").join(first.withColumnRenamed("id", "candidate").withColumn("resolution", F.lit("ambiguous")), [*key, "resolution"], "left").drop("rn", "candidates")
+    mine = catalog.join(wanted.withColumnRenamed("anchor", "id"), "id", "left_semi").select(*key, F.col("id").alias("anchor")).distinct()
+    others = sites.filter("resolution = 'ambiguous'").drop("target", "candidates").join(mine, key).filter("caller <> anchor").withColumn("candidate", F.col("anchor"))
+    both = own.unionByName(others)
+    sure = sites.filter("resolution = 'resolved'").select("caller", F.col("target").alias("candidate")).distinct()
+    both = both.join(sure, ["caller", "candidate"], "left_anti")
+    for c in _SAID:
+        both = both.withColumn(c, F.when(F.col("candidate").isNull(), F.col(c)))
+    out = _groups(both, ["anchor", "caller", "candidate", *_SAID])
+    return out.withColumn("precision", F.when(F.col("candidate").isNotNull(), "heuristic").otherwise("syntax"))
+
+
+def site_order() -> list[Column]:
+    """By caller_name, then candidate (none first), then the place of the first site (path and lines)."""
+    return [F.col("caller_name"), F.col("candidate_name").asc_nulls_first(), F.col("candidate").asc_nulls_first(), F.col("path"), F.get("lines", 0)]
 
 
 def _groups(sites: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,7 +170,7 @@ def running_total(rows: DataFrame, order: str, value: Column) -> DataFrame:
 
 
 def admit_sites(sites: DataFrame, tests: DataFrame, max_sites: int, max_edges: int, used_edges: int = 0) -> DataFrame:
-    """Adds admitted: the fold that takes sites by seq (unique) while their edges fit, passes over those that don't, and goes on.
+    """Adds admitted and over_sites (refused as one site too many): the fold that takes sites by seq (unique) while their edges fit, passes over those that don't, and goes on.
 
     A site costs no edge unless it is resolved, then one, and two from a test. When one is refused, less than its cost
     (one edge at most) is left, which the first later site of cost one takes; from there only sites of no cost enter.
@@ -134,7 +190,8 @@ def admit_sites(sites: DataFrame, tests: DataFrame, max_sites: int, max_edges: i
             one = s.filter((F.col("seq") > stop["at"]) & (F.col("cost") == 1)).agg(F.min("seq")).first()[0]
             fits = fits | (F.col("seq") == one) if one is not None else fits
     s = running_total(s.drop("total").withColumn("fits", fits), "seq", F.col("fits").cast("int"))
-    return s.withColumn("admitted", F.col("fits") & (F.col("total") <= max_sites)).drop("fits", "total")
+    over = F.col("total") - F.col("fits").cast("int") >= max_sites
+    return s.withColumns({"admitted": F.col("fits") & ~over, "over_sites": over}).drop("fits", "total")
 
 
 def endpoint(requests: DataFrame, targets: DataFrame) -> DataFrame:

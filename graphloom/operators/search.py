@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.schema import EXTENSIONS, KIND_ORDER, rank
+from graphloom.schema import EXTENSIONS, FALLBACK, KIND_ORDER, LANGUAGES, LOCKS, ROLES, rank
 
 
 def match_rank(query: str) -> Column:
@@ -28,7 +31,24 @@ def symbol_search(symbols: DataFrame, query: str, limit: int = 20, kinds: list[s
     if path_prefix:
         p = path_prefix.rstrip("/")
         s = s.filter((F.col("path") == p) | F.col("path").startswith(f"{p}/"))
-    return s.orderBy("match_rank", F.when(F.col("kind") == "impl_block", 1).when(F.col("kind") == "import", 2).otherwise(0), "qualified_name", "path", "start_line", "end_line", rank("kind", KIND_ORDER), "id").limit(limit)
+    return s.orderBy(*symbol_order(s.columns)).limit(limit)
+
+
+def symbol_order(columns: list[str]) -> list[Column]:
+    """The order of matches. Without role and language (of one file's symbols, say) these two say nothing."""
+    kind = F.when(F.col("kind") == "impl_block", 1).when(F.col("kind") == "import", 2).otherwise(0)
+    role = [rank("role", ROLES)] if "role" in columns else []
+    language = [rank("language", LANGUAGES)] if "language" in columns else []
+    place = [F.col(c) for c in ("qualified_name", "path", "start_line", "start_col", "end_line", "end_col") if c in columns]
+    return [F.col("match_rank"), kind, *role, *language, *place, rank("kind", KIND_ORDER), F.col("id")]
+
+
+def symbol_view(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """symbols with source_role, source_classification, package_name and package_root of their files (path, role,
+    classification, package_name, package_root). A symbol of an unknown file goes by its path."""
+    f = files.select("path", "role", "classification", "package_name", "package_root").withColumnsRenamed({"role": "_role", "classification": "_class"})
+    j = symbols.drop("role", "classification", "package_name", "package_root").join(f, "path", "left")
+    return j.withColumns({"source_role": F.coalesce("_role", path_role(F.col("path"))), "source_classification": F.coalesce("_class", F.lit(FALLBACK))}).drop("_role", "_class")
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -70,35 +90,52 @@ def path_role(path: Column) -> Column:
     )
 
 
+def _by_extension(extension: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[extension]
+
+
 def path_language(path: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
-    return F.when(~F.arrays_overlap(F.split(path, "/"), F.lit(["target"])), table[F.regexp_extract(path, r"\.([^./]+)$", 1)])
+    """The language of a source: by its extension, but for lock files and what is below a folder named target."""
+    parts = F.split(path, "/")
+    build = F.arrays_overlap(parts, F.lit(["target"])) | F.element_at(parts, -1).isin(LOCKS)
+    return F.when(~build, _by_extension(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)))
+
+
+def file_language(path: Column) -> Column:
+    """The language a path's ending stands for, whatever the folder or the name before it: what queries go by."""
+    return _by_extension(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
 def language_role(path: Column, language: Column) -> Column:
-    """path_role, refined by the conventions of a language where the path alone says production."""
-    parts = F.split(path, "/")
+    """path_role, after the conventions of a language that go before it, and before those that refine production."""
+    parts, low_parts = F.split(path, "/"), F.split(F.lower(path), "/")
     file, low = F.element_at(parts, -1), F.lower(F.element_at(parts, -1))
     stem = F.regexp_replace(file, r"\.[^.]*$", "")
     has = lambda *names: F.arrays_overlap(parts, F.lit(list(names)))
-    js = F.array_contains(F.split(F.lower(path), "/"), "__tests__") | file.contains(".test.") | file.contains(".spec.")
-    rules = [
-        (language.isin("typescript", "javascript") & js, "test"),
+    go, script = language == "go", language.isin("typescript", "javascript")
+    first = [
+        ((language == "csharp") & F.arrays_overlap(low_parts, F.lit(["bin", "obj"])), "generated"),
+        ((language == "hcl") & has(".terraform", ".terragrunt-cache"), "vendor"),
+        (go & has("vendor"), "vendor"),
+        (go & path.endswith("_test.go"), "test"),
+        (go & (file.endswith(".pb.go") | file.endswith("_generated.go") | file.startswith("zz_generated.") | has("generated", "gen")), "generated"),
+    ]
+    then = [
+        (script & (F.array_contains(low_parts, "__tests__") | file.contains(".test.") | file.contains(".spec.")), "test"),
         ((language == "python") & F.regexp_like(stem, F.lit(r"^test_|_test$")), "test"),
         ((language == "java") & (path.startswith("src/test/java/") | F.regexp_like(stem, F.lit("^Test|Tests?$"))), "test"),
-        ((language == "csharp") & has("bin", "obj"), "generated"),
         ((language == "csharp") & F.regexp_like(stem, F.lit("Tests?$")), "test"),
-        ((language == "cpp") & F.regexp_like(low, F.lit(r"(\.pb|\.generated|\.gen|\.moc)\.[^.]+$")), "generated"),
         ((language == "cpp") & F.regexp_like(low, F.lit(r"(_test|_tests|_unittest|_spec)\.[^.]+$")), "test"),
-        ((language == "hcl") & has(".terraform", ".terragrunt-cache"), "vendor"),
+        ((language == "cpp") & F.regexp_like(low, F.lit(r"(\.pb|\.generated|\.gen|\.moc)\.[^.]+$")), "generated"),
         ((language == "hcl") & path.endswith(".tftest.hcl"), "test"),
-        ((language == "go") & path.endswith("_test.go"), "test"),
-        ((language == "go") & (file.endswith(".pb.go") | file.endswith("_generated.go") | file.startswith("zz_generated.")), "generated"),
     ]
     generic, out = path_role(path), F.lit("production")
-    for condition, role in reversed(rules):
+    for condition, role in reversed(then):
+        out = F.when(condition, role).otherwise(out)
+    out = F.when(generic != "production", generic).otherwise(out)
+    for condition, role in reversed(first):
         out = F.when(condition, role).otherwise(out)
-    return F.when(generic != "production", generic).otherwise(out)
+    return out
 
 
 def valid_path(path: Column) -> Column:
@@ -112,40 +149,55 @@ def signature(text: Column, most: int = 512) -> Column:
     return F.when(F.length(one) > most, F.concat(F.substring(one, 1, most - 1), F.lit("…"))).otherwise(one)
 
 
+def ancestors(path: Column) -> Column:
+    """The folders a path lies in, from the repository itself ('') to its own."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
 def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """Longest-prefix join: each path's ancestors meet the roots in an equi-join; the longest root wins."""
-    parts = F.split("path", "/")
-    up = paths.withColumn("root", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
-    best = up.join(roots, "root").groupBy("path").agg(F.max_by("package_name", F.length("root")).alias("package_name"), F.max("root").alias("nearest"))
-    return paths.select("path").join(best, "path", "left")
+    """Longest-prefix join: each path's ancestors meet the roots in an equi-join; the longest root wins, and at one root
+    the last package by name. The repository's own root is ''; without any root both are null."""
+    up = paths.select("path", F.explode(ancestors(F.col("path"))).alias("root"))
+    best = up.join(roots.select("root", "package_name"), "root").groupBy("path").agg(F.max(F.struct(F.length("root").alias("n"), "package_name", "root")).alias("v"))
+    return paths.select("path").join(best, "path", "left").select("path", "v.package_name", F.col("v.root").alias("nearest"))
 
 
 #: Two noncharacters that mark where a match begins and ends; texts hold them nowhere (Unicode keeps them for this).
 _BEGIN, _END = "\ufdd0", "\ufdd1"
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, start, end = [], [], []
+        for i, marked in enumerate(batch.column("marked").to_pylist()):
+            head, *rest = marked.split(_BEGIN)
+            at = len(head) + 1
+            for part in rest:
+                n = part.index(_END)
+                if n:
+                    row.append(i)
+                    start.append(at)
+                    end.append(at + n)
+                at += len(part) - 1
+        keep = batch.select(["path", "line", "body"]).take(pa.array(row, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["path", "line", "body", "s", "e"])
+
+
 def match_all(files: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
     """Every match in every line: path, line, start_column, end_column (code points, end exclusive), shown, omitted.
 
-    One replacement marks all matches of a line in their places, so look-around and word borders see the whole line;
-    lengths between the marks add up to columns. Patterns are Java's; empty matches don't count. The line is shown up
-    to 512 characters around the match.
+    One replacement marks all matches of a line in their places, so look-around and word borders see the whole line; one
+    pass over the marks gives the columns, in time that grows with the line. Patterns are Java's; empty matches don't
+    count. The line is shown up to 512 characters around the match.
     """
     literal = r"\Q" + query.replace(r"\E", r"\E\\E\Q") + r"\E"
     pattern = F.lit(f"(?{'u' if case_sensitive else 'iu'}:{query if regex else literal})")
     rows = lines(files).filter(F.regexp_like("body", pattern))
-    parts = F.split(F.regexp_replace("body", pattern, F.lit(f"{_BEGIN}$0{_END}")), _BEGIN, -1)
-    each = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.struct((F.instr(x, _END) - 1).alias("n"), F.length(x).alias("all")))
-    place = "array<struct<s:int,e:int>>"
-    walk = F.aggregate(
-        each,
-        F.struct((F.length(F.get(parts, 0)) + 1).alias("at"), F.array().cast(place).alias("found")),
-        lambda acc, x: F.struct((acc["at"] + x["all"] - 1).alias("at"), F.concat(acc["found"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + x["n"]).alias("e")))).alias("found")),
-    )
-    hits = F.filter(walk["found"], lambda x: x["e"] > x["s"])
-    rows = rows.select("path", "line", "body", F.explode(hits).alias("h"))
-    start = F.greatest(F.lit(1), F.least(F.col("h.s") - F.floor((512 - F.col("h.e") + F.col("h.s")) / 2), F.length("body") - 511)).cast("int")
-    return rows.select("path", "line", F.col("h.s").cast("long").alias("start_column"), F.col("h.e").cast("long").alias("end_column"), F.substring(F.col("body"), start, F.lit(512)).alias("shown"), F.greatest(F.lit(0), F.length("body") - 512).cast("long").alias("omitted"))
+    marked = rows.withColumn("marked", F.regexp_replace("body", pattern, F.lit(f"{_BEGIN}$0{_END}")))
+    rows = marked.mapInArrow(_places, "path string, line long, body string, s long, e long")
+    start = F.greatest(F.lit(1), F.least(F.col("s") - F.floor((512 - F.col("e") + F.col("s")) / 2), F.length("body") - 511)).cast("int")
+    return rows.select("path", "line", F.col("s").alias("start_column"), F.col("e").alias("end_column"), F.substring(F.col("body"), start, F.lit(512)).alias("shown"), F.greatest(F.lit(0), F.length("body") - 512).cast("long").alias("omitted"))
 
 
 def snippets(symbols: DataFrame, files: DataFrame, most_lines: int = 20, most_chars: int = 4096) -> DataFrame:

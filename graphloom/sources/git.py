@@ -54,7 +54,7 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     """path, language, role of each source file."""
     d = spark.createDataFrame([(p,) for p in paths(root)], "path string")
     d = d.withColumn("language", search.path_language(F.col("path"))).filter("language IS NOT NULL")
-    return d.filter(~F.element_at(F.split("path", "/"), -1).isin(worktree.LOCKS)).withColumn("role", search.language_role(F.col("path"), F.col("language")))
+    return d.withColumn("role", search.language_role(F.col("path"), F.col("language")))
 
 
 def files(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:

@@ -454,7 +454,7 @@ class _Reader:
 
 def facts(path: str, text: str | None) -> tuple[list[dict], list[dict], list[dict], int]:
     """Symbols, calls and relations of one file of any of the eleven languages, and its number of diagnostics."""
-    language = EXTENSIONS.get(path.rsplit(".", 1)[-1]) if "." in path.split("/")[-1] else None
+    language = EXTENSIONS.get(path.rsplit(".", 1)[-1]) if "." in path.split("/")[-1][1:] else None
     if language is None:
         return [], [], [], 0
     if language == "python":

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import search
 
-#: Folders that never hold sources, and lock files that look like sources. Fixed values.
+#: Folders that never hold sources. Fixed values.
 SKIPPED = [".git", "target"]
-LOCKS = [".terraform.lock.hcl", ".opentofu.lock.hcl"]
 
 #: Files that say something of a language's projects: names, or endings that begin with a star. Fixed values.
 METADATA = [
@@ -48,7 +47,7 @@ def _scan(spark: SparkSession, root: str) -> DataFrame:
     base = "/" + root.split("://", 1)[-1].strip("/") + "/"
     inner = F.expr(f"substring(path, instr(path, {_quoted(base)}) + {len(base)})")
     parts = F.split(inner, "/")
-    ok = ~F.arrays_overlap(parts, F.lit(SKIPPED)) & ~F.element_at(parts, -1).isin(LOCKS)
+    ok = ~F.arrays_overlap(parts, F.lit(SKIPPED))
     return raw.select(inner.alias("path"), "length", "content").filter(ok)
 
 
@@ -68,25 +67,3 @@ def left_out(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFr
     d = _scan(spark, root).filter(search.path_language(F.col("path")).isNotNull())
     big = F.col("length") > max_bytes
     return d.agg(F.count_if(big).alias("oversized"), F.count_if(~big & ~F.is_valid_utf8(F.col("content").cast("string"))).alias("not_utf8"))
-
-
-def package_name(path: Column, text: Column) -> Column:
-    """The package a manifest names; null for other files and where it names none."""
-    file = F.element_at(F.split(path, "/"), -1)
-    find = lambda t, pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
-    own = F.regexp_replace(text, r"(?s)<(parent|dependencies|dependencyManagement|build|profiles)>.*?</\1>", "")
-    return (
-        F.when(file.isin("package.json", "composer.json"), F.get_json_object(text, "$.name"))
-        .when(file == "pyproject.toml", find(text, r"(?ms)^\[project\]\s*$(?:(?!^\[).)*?^name\s*=\s*[\"']([^\"'\n]*)[\"']"))
-        .when(file == "Cargo.toml", find(text, r"(?ms)^\[package\]\s*$(?:(?!^\[).)*?^name\s*=\s*[\"']([^\"'\n]*)[\"']"))
-        .when(file == "pom.xml", find(own, r"<artifactId>\s*([^<\s]+)\s*</artifactId>"))
-        .when(file.isin("settings.gradle", "settings.gradle.kts"), find(text, r"(?m)^\s*rootProject\.name\s*=\s*[\"']([^\"'\n]*)[\"']"))
-        .when(file == "go.mod", find(text, r"(?m)^module\s+\"?([^\s\"]+)"))
-        .when(file.endswith(".csproj"), F.coalesce(find(text, r"<AssemblyName>\s*([^<]*?)\s*</AssemblyName>"), F.regexp_replace(file, r"\.csproj$", "")))
-    )
-
-
-def package_roots(manifests: DataFrame) -> DataFrame:
-    """root and package_name of each manifest (path, text) that names one: what nearest_root takes."""
-    d = manifests.select(F.regexp_replace("path", r"/?[^/]*$", "").alias("root"), package_name(F.col("path"), F.col("text")).alias("package_name"))
-    return d.filter("package_name IS NOT NULL").groupBy("root").agg(F.min("package_name").alias("package_name"))
