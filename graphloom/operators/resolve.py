@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.schema import TARGET_KIND
 
 KEY = ["target_kind", "name", "qualifier"]
+#: What a receiver's type is known from, where a unique candidate makes a call precise. Fixed values.
+STRICT = ["parameter", "property", "promoted_property", "local_new", "service_locator", "scoped_type"]
 
 
 def keys_of(sites: DataFrame, catalog: DataFrame) -> list[str]:
@@ -45,11 +47,6 @@ def resolve(sites: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.withColumns({"resolution": kind, "target": F.when(kind == "resolved", F.col("only")), "candidates": F.coalesce("candidates", F.lit(0)).cast("long")}).drop("only")
 
 
-def first_three(order: str, value: str):
-    """The first three values by order, from a bounded sort of the group's smallest."""
-    return F.transform(F.slice(F.array_sort(F.collect_list(F.struct(order, value))), 1, 3), lambda x: x[value])
-
-
 def relations(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Groups of edges: occurrence_count, the first three lines by seq, and how many are left out.
 

@@ -37,17 +37,14 @@ _RULES: list[tuple[tuple[str, ...], tuple[str, ...], str]] = [
     (("Artisan",), ("resolveCommands",), "command"),
     (("*",), ("dispatch", "dispatchSync", "dispatchAfterResponse"), "dispatch_static"),
 ]
-_CALL = re.compile(r"(?<![\w$\\>:])(?:(?P<on>\$?[\w\\]{1,200}(?:->\w+){0,4})(?P<sep>->|::))?(?P<name>\\?[A-Za-z_]\w*)\s*(?=\()")
-_USE = re.compile(r"^[ \t]*use\s+(?!function\b|const\b)([\w\\]+)(?:\s+as\s+(\w+))?\s*;", re.M)
+_CALL = re.compile(r"(?<![\w$\\>:])(?:(?P<on>\$?[\w\\]+(?:->\w+)*)(?P<sep>->|::))?(?P<name>\\?[A-Za-z_]\w*)\s*(?=\()")
 _NAMED, _CREATED = re.compile(r"\s*(\\?[A-Za-z_][\w\\]*)::class\s*$"), re.compile(r"\s*new\s+(\\?[A-Za-z_][\w\\]*)")
 _PARAMETER = re.compile(r"^\s*(?:#\[[^\]]*\]\s*)?(?:(?:public|protected|private|readonly)\s+)*\??(\\?[A-Za-z_][\w\\]*)\s+&?(?:\.\.\.)?\$\w+")
-_PLAIN = frozenset("int float string bool array mixed iterable callable object null void never self static parent false true".split())
 
 
 class _Statements:
     def __init__(self, path: str, text: str):
         self.path, self.r = path, _Reader("php", path, text)
-        self.uses = {(b or a.split("\\")[-1]): a.strip("\\").replace("\\", "::") for a, b in _USE.findall(self.r.code)}
         self.rows: list[dict] = []
         self._constructors()
         for m in _CALL.finditer(self.r.code):
@@ -55,15 +52,6 @@ class _Statements:
                 self._statement(m)
         self.rows.sort(key=lambda x: (x["line"], x["col"]))
 
-    def _type(self, name: str) -> str | None:
-        if name.lower() in _PLAIN:
-            return None
-        if name.startswith("\\"):
-            return name.strip("\\").replace("\\", "::")
-        head, _, rest = name.partition("\\")
-        full = [self.uses.get(head) or "::".join([*self.r.module, head]), *(rest.split("\\") if rest else [])]
-        return "::".join(full)
-
     def _arguments(self, at: int) -> list[tuple[int, int]]:
         """Where each argument of the bracket at a place begins and ends."""
         end = self.r.close.get(at)
@@ -83,7 +71,7 @@ class _Statements:
     def _class(self, span: tuple[int, int], *patterns: re.Pattern) -> str | None:
         for p in patterns:
             if m := p.match(self.r.code[span[0] : span[1]]):
-                return self._type(m[1])
+                return self.r.aliases.type(m[1])
         return None
 
     def _add(self, kind: str, start: list[str] | str, to: list[str], at: int) -> None:
@@ -100,7 +88,7 @@ class _Statements:
             owner = next((s for s in self.r.symbols if s["name"] == "__construct" and s["start_line"] <= self.r._place(m.start())[0] <= s["end_line"]), None)
             for a, b in self._arguments(m.end()) if owner else []:
                 p = _PARAMETER.match(self.r.code[a:b])
-                if p and (target := self._type(p[1])):
+                if p and (target := self.r.aliases.type(p[1])):
                     self._add("DEPENDS_ON", [owner["qualified_name"].rpartition("::")[0]], [target], a + len(self.r.code[a:b]) - len(self.r.code[a:b].lstrip()))
 
     def _statement(self, m: re.Match) -> None:
@@ -117,7 +105,7 @@ class _Statements:
             self._add("RESOLVES", "resolve", [first], at)
         elif rule == "dispatch" and made:
             self._add("DISPATCHES", "dispatch", [f"{made}::handle"], at)
-        elif rule == "dispatch_static" and (job := self._type(on)):
+        elif rule == "dispatch_static" and (job := self.r.aliases.type(on)):
             self._add("DISPATCHES", "dispatch", [f"{job}::handle"], at)
         elif rule == "bind" and first and second:
             self._add("BINDS", [first], [second], at)

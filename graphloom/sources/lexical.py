@@ -5,7 +5,7 @@ that a language's patterns find are nested by the brackets around them. This is
 overloaded syntax can escape it, so its facts are of precision `heuristic`. Python has its own reader (python_code);
 `parse` sends every file to the reader of its language.
 
-Cases: null text is an empty file; brackets that don't pair give one diagnostic and the facts of what does pair; files
+Cases: null text is an empty file; each bracket without a partner is a diagnostic, and what does pair gives its facts; files
 of no known language have no facts; empty tables give empty tables; other columns are ignored.
 """
 
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from graphloom.schema import EXTENSIONS
 from graphloom.sources import python_code
-from graphloom.sources.python_code import _CALL, _SYMBOL, HINT, SIGNATURE, _id, _type
+from graphloom.sources.python_code import _CALL, _DIAGNOSTIC, _SYMBOL, HINT, SIGNATURE, _id, _type
 
 _RELATION = {"from": "int", "relation": "string", "names": "array<string>"}
-#: How far back a statement is searched for its beginning, in characters.
-REACH = 2000
+#: Diagnostics kept of a file; their number is exact. Fixed value.
+KEPT = 64
 TYPES = ("class", "struct", "enum", "trait", "interface", "impl_block")
 CALLABLE = ("function", "method", "test")
 
@@ -169,7 +169,8 @@ LANGUAGES: dict[str, Language] = {
     ),
 }
 
-_CALLS = re.compile(r"(?<![\w$])(?P<new>new\s+)?(?P<on>(?:[\w$]+(?:\?\.|\?->|->|::|\.|\\)){0,16})(?P<name>[A-Za-z_$][\w$]*)\s*(?:::\s*<[^<>()]*>|<[\w\s,.?\[\]]*>)?(?=\()")
+# A match begins where a chain of receivers does, so a long chain is read once.
+_CALLS = re.compile(r"(?<![\w$])(?<![\w$][.\\])(?<![\w$]->)(?<![\w$]::)(?<![\w$]\?\.)(?<![\w$]\?->)(?P<new>new\s+)?(?P<on>(?:[\w$]+(?:\?\.|\?->|->|::|\.|\\))*+)(?P<name>[A-Za-z_$][\w$]*)\s*(?:::\s*<[^<>()]*>|<[\w\s,.?\[\]]*>)?(?=\()")
 _COMMANDS = re.compile(r"(?:^|[;&|({]|\b(?:then|do|else|if|while|until)\b|!)[ \t]*(?P<name>(?!(?:then|do|else|if|while|until)\b)[A-Za-z_][\w.:-]*)(?![\w.:-]*=)", re.M)
 _SHELL_WORDS = frozenset("if then else elif fi for while until do done case esac in function select time return local export readonly declare typeset unset shift set exit break continue eval exec trap test echo printf cd read true false source alias".split())
 _TRAVERSAL = re.compile(r"(?<![\w.\"-])(?P<a>[a-z_][\w-]*)\.(?P<b>[A-Za-z_][\w-]*)(?:\.(?P<c>[A-Za-z_][\w-]*))?")
@@ -179,13 +180,116 @@ _OPEN, _BRACKETS = {")": "(", "]": "[", "}": "{"}, re.compile(r"[()\[\]{}]")
 _HEAD = re.compile(r"=>|[({\[;)\]}]|\n")
 
 
+_MADE = re.compile(r"\b(?:app|resolve)\s*\(\s*(\\?[A-Za-z_][\w\\]*)::class\s*\)\s*\??->\s*\Z")
+_TYPED = re.compile(r"(?:^|[,(])\s*(?:#\[[^\]]*\]\s*)*(?P<own>(?:(?:public|protected|private|readonly)\s+)*)\??(?P<type>\\?[A-Za-z_][\w\\]*)\s+&?(?:\.\.\.)?\$(?P<name>\w+)")
+_PLAIN = frozenset("int float string bool array mixed iterable callable object null void never self static parent false true".split())
+_USE = re.compile(r"^[ \t]*use\s+(?!function\b|const\b)([\w\\]+)(?:\s+as\s+(\w+))?\s*;", re.M)
+# Strings are blanks in the code, so what an import is from is read in the text.
+_FROM = re.compile(r"^[ \t]*import\s+(?:type\s+)?(?P<what>[\w$*{][^;()]*?)\s*\bfrom\b", re.M)
+_REQUIRE = re.compile(r"\b(?:const|let|var)\s+(?P<what>[A-Za-z_$][\w$]*|\{[^}]*\})\s*=\s*require\s*\(")
+_STRING = re.compile(r"\s*(['\"])([^'\"\n]*)\1")
+_STATIC = re.compile(r"^[ \t]*import\s+static\s+([\w.]+)\.(\w+)\s*;", re.M)
+_USING = re.compile(r"^[ \t]*(?:global\s+)?using\s+(?:(?P<static>static)\s+|(?P<alias>\w+)\s*=\s*)(?P<of>[\w.]+)(?:<[^;]*>)?\s*;", re.M)
+
+
+class _Aliases:
+    """What a file's imports call things: PHP types, names and namespaces of scripts, Java's static members, C#'s types."""
+
+    def __init__(self, language: str, path: str, code: str, text: str):
+        self.language, self.path = language, path
+        self.named: dict[str, tuple[str, str]] = {}
+        self.spaces: dict[str, str] = {}
+        self.static: list[str] = []
+        self.declared = frozenset()
+        if language == "php":
+            space = re.search(r"\bnamespace\s+([\w\\]+)", code)
+            self.module = space[1].strip("\\").split("\\") if space else []
+            self.uses = {(b or a.split("\\")[-1]): a.strip("\\").replace("\\", "::") for a, b in _USE.findall(code)}
+        elif language in ("typescript", "javascript"):
+            for m in [*_FROM.finditer(code), *(_REQUIRE.finditer(code) if language == "javascript" else ())]:
+                said = _STRING.match(text, m.end())
+                module = self._module(said[2]) if said else None
+                if module is not None:
+                    self._script(m["what"].strip(), module, "require" in m[0])
+        elif language == "java":
+            self.named = {b: (b, a.replace(".", "::")) for a, b in _STATIC.findall(code)}
+        elif language == "csharp":
+            for m in _USING.finditer(code):
+                if m["static"]:
+                    self.static.append(m["of"].replace(".", "::"))
+                else:
+                    self.spaces[m["alias"]] = m["of"].replace(".", "::")
+            self.declared = frozenset(re.findall(r"\b(\w+)\s*\([^()]*\)\s*(?:where[^{;]*)?(?:\{|=>)", code)) if self.static else frozenset()
+
+    def type(self, name: str) -> str | None:
+        """The full name of a PHP type as a file writes it."""
+        if name.lower() in _PLAIN:
+            return None
+        if name.startswith("\\"):
+            return name.strip("\\").replace("\\", "::")
+        head, _, rest = name.partition("\\")
+        return "::".join([self.uses.get(head) or "::".join([*self.module, head]), *(rest.split("\\") if rest else [])])
+
+    def _module(self, said: str) -> str | None:
+        """The module of a relative specifier; None for packages."""
+        if not said.startswith("."):
+            return None
+        parts = self.path.split("/")[:-1]
+        for step in said.split("/"):
+            if step == "..":
+                if not parts:
+                    return None
+                parts.pop()
+            elif step not in ("", "."):
+                parts.append(step)
+        if not parts:
+            return None
+        parts[-1] = re.sub(r"\.(?:[cm]?[jt]sx?)$", "", parts[-1])
+        parts = parts[1:] if parts[0] == "src" else parts
+        return "::".join(parts[:-1] if len(parts) > 1 and parts[-1] == "index" else parts)
+
+    def _script(self, what: str, module: str, required: bool) -> None:
+        listed = re.search(r"\{([^}]*)\}", what)
+        for x in (listed[1] if listed else "").split(","):
+            if m := re.fullmatch(r"\s*(?:type\s+)?([\w$]+)(?:\s*(?:as|:)\s*([\w$]+))?\s*", x):
+                self.named[m[2] or m[1]] = (m[1], module)
+        if m := re.search(r"\*\s*as\s+([\w$]+)", what):
+            self.spaces[m[1]] = module
+        elif m := re.match(r"[\w$]+", what):
+            if required:
+                self.spaces[m[0]] = module
+            else:
+                self.named.setdefault(m[0], (m[0], module))
+
+    def call(self, name: str, on: list[str], sep: str) -> tuple | None:
+        """form, target_kind, name and qualifier of a call that an import explains."""
+        if self.language in ("typescript", "javascript"):
+            if not on and name in self.named:
+                real, module = self.named[name]
+                return "scoped", "function", real, module
+            if len(on) == 1 and on[0] in self.spaces:
+                return "scoped", "function", name, self.spaces[on[0]]
+        elif self.language == "java" and not on and name in self.named:
+            return "scoped", "method", *self.named[name]
+        elif self.language == "csharp":
+            if not on and len(self.static) == 1 and name not in self.declared and not sep:
+                return "scoped", "method", name, self.static[0]
+            if len(on) == 1 and on[0] in self.spaces:
+                return "scoped", "method", name, self.spaces[on[0]]
+        return None
+
+
 class _Reader:
     def __init__(self, language: str, path: str, text: str):
         self.language, self.spec, self.path, self.text = language, LANGUAGES[language], path, text
         blank, rules = self.spec.ready()
         self.code = blank.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.diagnostics = self._pair()
+        self.marks: dict[str, list[int]] = {}
+        self.aliases = _Aliases(language, path, self.code, text)
+        self.params: dict[int, dict[str, tuple[str, str]]] = {}
+        self.props: dict[tuple[str | None, str], tuple[str, str]] = {}
+        self.errors, self.diagnostics = self._pair()
         self.module = self.spec.module(path, self.code)
         if language == "go" and self.module:
             self.module = [*self.module, path.split("/")[-1].rsplit(".", 1)[0]]
@@ -196,21 +300,33 @@ class _Reader:
         self._declare(rules)
         self._call()
 
-    def _pair(self) -> int:
-        """close: the partner of each opening bracket; around: the innermost open one after each bracket (-1: none)."""
+    def _pair(self) -> tuple[list[dict], int]:
+        """close: the partner of each opening bracket; around: the innermost open one after each bracket (-1: none).
+        Returns the first KEPT brackets without a partner, by place, and how many there are."""
         self.close, self.brackets, self.around = {}, [], []
-        stack, odd = [], 0
+        stack, odd, open_ = [], [], dict.fromkeys("([{", 0)
         for m in _BRACKETS.finditer(self.code):
             c, at = m[0], m.start()
-            if c in "([{":
+            if c in open_:
                 stack.append(at)
-            elif stack and self.code[stack[-1]] == _OPEN[c]:
+                open_[c] += 1
+            elif open_[_OPEN[c]]:
+                # What is open above the partner has none of its own.
+                while self.code[stack[-1]] != _OPEN[c]:
+                    open_[self.code[stack[-1]]] -= 1
+                    odd.append((stack.pop(), "missing"))
+                open_[_OPEN[c]] -= 1
                 self.close[stack.pop()] = at
             else:
-                odd = 1
+                odd.append((at, "error"))
             self.brackets.append(at)
             self.around.append(stack[-1] if stack else -1)
-        return int(odd or bool(stack))
+        odd = sorted([*odd, *((at, "missing") for at in stack)])
+        rows = []
+        for at, kind in odd[:KEPT]:
+            line, col = self._place(at)
+            rows.append(dict(kind=kind, cause="bracket", node_kind=self.code[at], start_line=line, start_col=col, end_line=line, end_col=col + 1))
+        return rows, len(odd)
 
     def _inside(self, at: int) -> int:
         i = bisect_right(self.brackets, at - 1)
@@ -233,9 +349,11 @@ class _Reader:
         return None, len(self.code)
 
     def _begin(self, at: int, marks: str = ";{}") -> int:
-        """Where the statement around a place begins: behind the last mark, or where its line does."""
-        low = max(0, at - REACH)
-        i = max([low - 1, *(self.code.rfind(c, low, at) for c in marks)]) + 1
+        """Where the statement around a place begins: behind the last mark."""
+        if marks not in self.marks:
+            self.marks[marks] = [m.start() for m in re.finditer("[" + re.escape(marks) + "]", self.code)]
+        i = bisect_right(self.marks[marks], at - 1)
+        i = self.marks[marks][i - 1] + 1 if i else 0
         return i + len(self.code[i:at]) - len(self.code[i:at].lstrip())
 
     def _before(self, at: int) -> str:
@@ -276,6 +394,22 @@ class _Reader:
                 continue
             self.taken.add(at)
             self._one(rule, m, scope, scopes)
+        if self.language == "go":
+            self._grouped()
+
+    def _grouped(self) -> None:
+        """Go: the names of const and var groups, and build constraints as imports."""
+        for m in re.finditer(r"^(const|var)\s*(?=\()", self.code, re.M):
+            opens = m.end()
+            for x in re.finditer(r"(?:^|;)[ \t]*([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)(?=[ \t]*(?:=|$|[\w*\[(.;]))", self.code[opens + 1 : self.close.get(opens, len(self.code))], re.M):
+                for y in re.finditer(r"\w+", x[1]):
+                    at = opens + 1 + x.start(1) + y.start()
+                    if y[0] != "_" and self._inside(at) == opens and at not in self.taken:
+                        self.taken.add(at)
+                        line = self.code.find("\n", at)
+                        self._add("constant" if m[1] == "const" else "property", y[0], list(self.module), at, line if line >= 0 else len(self.code), None)
+        for m in re.finditer(r"^//go:build[ \t]+([^\n]+)", self.text, re.M):
+            self._add("import", f"build::{m[1].strip()}", list(self.module), m.start(), m.end(), None)
 
     def _one(self, rule: Rule, m: re.Match, scope: tuple | None, scopes: list) -> None:
         kind, name, inside = rule.kind, m["name"], scope[3] if scope else None
@@ -311,9 +445,13 @@ class _Reader:
             kind = "method" if inside in TYPES else kind
             if self.language == "php" and kind == "function" and inside in CALLABLE:
                 prefix = list(self.module)
+            if self.language == "php":
+                self._parameters(m, name, prefix)
             if self.language in ("java", "csharp") and scope and name == scope[2][-1]:
                 name = "constructor"
             kind = "test" if self._is_test(name, start) else kind
+        if self.language == "php" and kind == "property" and (said := re.search(r"([\w\\]+)\s+\$\w+$", m[0])) and (of := self.aliases.type(said[1])):
+            self.props[prefix[-1] if prefix else None, name] = (of, "property")
         at = self._add(kind, name, prefix, start, end, opens)
         if opens is not None:
             inner = [*prefix, name]
@@ -326,6 +464,16 @@ class _Reader:
         if kind in TYPES:
             self._relate(at, self.code[start : opens if opens is not None else end], prefix)
 
+    def _parameters(self, m: re.Match, name: str, prefix: list[str]) -> None:
+        """Types of the parameters of the declaration to be added next, and of the properties a constructor promotes."""
+        opens = self.code.find("(", m.end())
+        said = self.code[opens + 1 : self.close.get(opens, opens)] if opens >= 0 else ""
+        for p in _TYPED.finditer(said):
+            if of := self.aliases.type(p["type"]):
+                self.params.setdefault(len(self.symbols), {})[p["name"]] = (of, "parameter")
+                if name == "__construct" and p["own"]:
+                    self.props[prefix[-1] if prefix else None, p["name"]] = (of, "promoted_property")
+
     def _start(self, rule: Rule, m: re.Match) -> int:
         if rule.kind in ("import", "impl_block") or rule.where == "enum":
             return m.start() + len(m[0]) - len(m[0].lstrip(" \t\n{,"))
@@ -360,11 +508,12 @@ class _Reader:
             return True
         if self.language == "cpp" and (low.startswith("test_") or low.endswith("_test") or re.fullmatch(self.spec.test, name)):
             return True
-        return bool(self.spec.test and re.search(self.spec.test, self._marks(at)))
+        return bool(self.spec.test and re.search(self.spec.test, self._attributes(at)))
 
-    def _marks(self, at: int) -> str:
-        """What stands before and at a declaration's beginning: attributes and annotations."""
-        return self.code[max(max(self.code.rfind(c, max(0, at - REACH), at) for c in ";{}") + 1, at - REACH) : at + REACH].split("{")[0]
+    def _attributes(self, at: int) -> str:
+        """What stands before a declaration's body and after the statement before it: attributes, annotations, its head."""
+        end = re.compile("[{;]").search(self.code, at)
+        return self.code[self._begin(at) : end.start() if end else len(self.code)]
 
     def _add(self, kind: str, name: str, prefix: list[str], start: int, end: int, opens: int | None) -> int:
         said = " ".join(self.text[start : opens if opens is not None else end][: 8 * SIGNATURE].split())
@@ -381,7 +530,8 @@ class _Reader:
             names = [re.sub(r"\b(?:public|private|protected|virtual)\b", "", x).strip() for x in plain.split(",")]
             for i, x in enumerate(n for n in names if re.fullmatch(r"[\w.:\\$]+", n)):
                 name = "::".join(p for p in re.split(r"::|[.\\]", x) if p)
-                kind = "implements" if self.language == "csharp" and (i or re.match(r"I[A-Z]", name)) else relation
+                own = self.symbols[at]["kind"]
+                kind = "implements" if self.language == "csharp" and own != "interface" and (i or own != "class") else relation
                 spaces = ["::".join([*prefix[:k], name]) for k in range(len(prefix), -1, -1)]
                 self.relations.append({"from": at, "relation": kind, "names": spaces})
 
@@ -398,25 +548,64 @@ class _Reader:
             while stack and stack[-1][1] <= at:
                 stack.pop()
             if stack:
-                _, _, caller, owner = stack[-1]
-                form, kind, name, qualifier, hint = row(self.symbols[caller]["kind"], owner)
+                opens, _, caller, owner = stack[-1]
+                form, kind, name, qualifier, hint, *known = row(self.symbols[caller]["kind"], owner, caller, opens)
                 line, col = self._place(at)
-                self.calls.append(dict(caller=caller, form=form, target_kind=kind, name=name, qualifier=qualifier, receiver_hint=hint, line=line, col=col))
+                of, source = known or (None, None)
+                self.calls.append(dict(caller=caller, form=form, target_kind=kind, name=name, qualifier=qualifier, receiver_hint=hint, receiver_type=of, receiver_type_source=source, line=line, col=col))
 
     def _found(self) -> list[tuple]:
         if self.language == "shell":
-            return [(m.start("name"), lambda kind, owner, n=m["name"]: ("function", "function", n, None, None)) for m in _COMMANDS.finditer(self.code) if m["name"] not in _SHELL_WORDS]
+            return [(m.start("name"), lambda *_, n=m["name"]: ("function", "function", n, None, None)) for m in _COMMANDS.finditer(self.code) if m["name"] not in _SHELL_WORDS]
         if self.language == "hcl":
-            out = [(m.start(), lambda kind, owner, n=m["name"]: ("function", "function", n, None, None)) for m in _HCL_CALL.finditer(self.code)]
+            out = [(m.start(), lambda *_, n=m["name"]: ("function", "function", n, None, None)) for m in _HCL_CALL.finditer(self.code)]
             for m in _TRAVERSAL.finditer(self.code):
-                out.append((m.start(), lambda kind, owner, x=self._traversal(m["a"], m["b"], m["c"]): x))
+                out.append((m.start(), lambda *_, x=self._traversal(m["a"], m["b"], m["c"]): x))
             return sorted(((a, r) for a, r in out if r(None, None)), key=lambda x: x[0])
         out = []
         for m in _CALLS.finditer(self.code):
             if m.start("name") not in self.taken and (m["on"] or m["new"] or m["name"] not in _NOT_CALLED):
-                out.append((m.start("name"), lambda kind, owner, m=m: self._lookup(m, kind, owner)))
+                out.append((m.start("name"), lambda *a, m=m: self._lookup(m, *a)))
         return out
 
+    def _receiver(self, m: re.Match, on: list[str], sep: str, owner: str | None, caller: int, opens: int) -> tuple | None:
+        """A PHP call whose receiver's type is known: by $this, a typed parameter or property, a local `new`, the service
+        container, or the type's own name."""
+        name, php = m["name"], self.aliases
+        member = "nullsafe_member" if sep.startswith("?") else "member"
+        if m["new"]:
+            of = php.type("\\".join([*on, name]))
+            return "scoped", "method", "__construct", of, name, of, "scoped_type"
+        if not on:
+            # A receiver that is a call ends right before the name, so the search ends there.
+            made = _MADE.search(self.code, self._begin(m.start()), m.start())
+            if made:
+                of = php.type(made[1])
+                return member, "method", name, of, None, of, "service_locator"
+            return None
+        if sep == "::":
+            said = ("\\" if self.code[max(0, m.start() - 1) : m.start()] == "\\" else "") + "\\".join(on)
+            if said in ("self", "static"):
+                return "scoped", "method", name, owner, said, owner, "self_type"
+            if said == "parent":
+                up = re.search(rf"\bclass\s+{re.escape(owner or '')}\b[^{{]*?\bextends\s+(\\?[\w\\]+)", self.code) if owner else None
+                of = php.type(up[1]) if up else None
+                return "scoped", "method", name, of, "parent", of, "parent_type" if of else None
+            of = php.type(said) if not said.startswith("$") else None
+            return ("scoped", "method", name, of, on[-1][:HINT], of, "scoped_type") if of else None
+        if on == ["$this"]:
+            return member, "method", name, owner, "$this", owner, "this"
+        found = self.props.get((owner, on[1])) if len(on) == 2 and on[0] == "$this" else None
+        if len(on) == 1 and on[0].startswith("$"):
+            last = None
+            for last in re.finditer(rf"{re.escape(on[0])}\s*=(?![=>])\s*(?:new\s+(\\?[A-Za-z_][\w\\]*))?", self.code[opens : m.start()]):
+                pass
+            if last is None:
+                found = self.params.get(caller, {}).get(on[0][1:])
+            elif last[1] and last[1] not in ("self", "static", "parent", "class"):
+                found = (php.type(last[1]), "local_new")
+        return (member, "method", name, found[0], on[-1][:HINT], found[0], found[1]) if found else None
+
     @staticmethod
     def _traversal(a: str, b: str, c: str | None) -> tuple | None:
         if a in ("each", "count", "self", "path", "terraform"):
@@ -426,10 +615,14 @@ class _Reader:
         space = {"var": "variable", "local": "locals", "module": "module"}.get(a)
         return ("scoped", "configuration", b, space or f"resource::{a}", None)
 
-    def _lookup(self, m: re.Match, kind: str, owner: str | None) -> tuple:
+    def _lookup(self, m: re.Match, kind: str, owner: str | None, caller: int, opens: int) -> tuple:
         name, on = m["name"], [p for p in re.split(r"\?\.|\?->|->|::|\.|\\", m["on"]) if p]
         sep = m["on"][len(m["on"].rstrip("?.->:\\")) :] if m["on"] else ""
-        hint = on[-1] if on and len(on[-1]) <= HINT else None
+        hint = on[-1] if on and len(on[-1]) <= HINT else on[-1][:HINT] if on and self.language == "go" else None
+        if self.language == "php" and (known := self._receiver(m, on, sep, owner, caller, opens)):
+            return known
+        if not m["new"] and (known := self.aliases.call(name, on, sep)):
+            return (*known, hint)
         if m["new"] and self.spec.constructor:
             return "scoped", "method", self.spec.constructor, name, name
         if not on or (sep == "\\"):
@@ -452,32 +645,43 @@ class _Reader:
         return "nullsafe_member" if sep.startswith("?") else "member", "method", name, None, hint
 
 
-def facts(path: str, text: str | None) -> tuple[list[dict], list[dict], list[dict], int]:
-    """Symbols, calls and relations of one file of any of the eleven languages, and its number of diagnostics."""
+def read(path: str, text: str | None) -> tuple[list[dict], list[dict], list[dict], int, list[dict]]:
+    """Symbols, calls and relations of one file of any of the eleven languages, its number of diagnostics and the first of them."""
     language = EXTENSIONS.get(path.rsplit(".", 1)[-1]) if "." in path.split("/")[-1][1:] else None
     if language is None:
-        return [], [], [], 0
+        return [], [], [], 0, []
     if language == "python":
-        s, c, b, bad = python_code.facts(path, text)
-        return s, c, [{"from": x["from"], "relation": "extends", "names": x["names"]} for x in b], bad
+        s, c, b, errors = python_code.read(path, text)
+        return s, c, [{"from": x["from"], "relation": "extends", "names": x["names"]} for x in b], len(errors), errors
     r = _Reader(language, path, (text or "").replace("\r\n", "\n"))
-    return r.symbols, r.calls, r.relations, r.diagnostics
+    return r.symbols, r.calls, r.relations, r.diagnostics, r.errors
+
+
+def facts(path: str, text: str | None) -> tuple[list[dict], list[dict], list[dict], int]:
+    return read(path, text)[:4]
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """path, symbols, calls, relations, diagnostics of each row of files (path, text). python_code.symbols and
-    python_code.call_sites explode them to tables."""
+    """path, symbols, calls, relations, diagnostics (their number) and errors (the first of them) of each row of files
+    (path, text). python_code.symbols and python_code.call_sites explode them to tables."""
     kinds = [_type(_SYMBOL), _type(_CALL), _type(_RELATION)]
+    errors = _type(_DIAGNOSTIC)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 b = batch.slice(i, 64)
-                rows = [facts(p or "", t) for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True)]
+                rows = [read(p or "", t) for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True)]
                 parts = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("path").cast(pa.string()), *(pa.array(list(x), k[1]) for x, k in zip(parts, kinds, strict=False)), pa.array(parts[3], pa.int32())], ["path", "symbols", "calls", "relations", "diagnostics"])
+                lists = (pa.array(list(x), k[1]) for x, k in zip(parts, kinds, strict=False))
+                yield pa.RecordBatch.from_arrays([b.column("path").cast(pa.string()), *lists, pa.array(parts[3], pa.int32()), pa.array(list(parts[4]), errors[1])], ["path", "symbols", "calls", "relations", "diagnostics", "errors"])
+
+    return files.select("path", "text").mapInArrow(run, f"path string, symbols {kinds[0][0]}, calls {kinds[1][0]}, relations {kinds[2][0]}, diagnostics int, errors {errors[0]}")
+
 
-    return files.select("path", "text").mapInArrow(run, f"path string, symbols {kinds[0][0]}, calls {kinds[1][0]}, relations {kinds[2][0]}, diagnostics int")
+def diagnostics(parsed: DataFrame) -> DataFrame:
+    """path, file (the file that keeps it), kind, cause, node_kind and range of each kept diagnostic."""
+    return parsed.select("path", F.col("path").alias("file"), F.explode("errors").alias("e")).select("path", "file", "e.*")
 
 
 def relations(parsed: DataFrame) -> DataFrame:

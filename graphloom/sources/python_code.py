@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 SIGNATURE, HINT = 512, 128
 _SYMBOL = {"name": "string", "qualified_name": "string", "container": "string", "kind": "string", "signature": "string", "start_line": "long", "start_col": "long", "end_line": "long", "end_col": "long"}
-_CALL = {"caller": "int", "form": "string", "target_kind": "string", "name": "string", "qualifier": "string", "receiver_hint": "string", "line": "long", "col": "long"}
+_CALL = {"caller": "int", "form": "string", "target_kind": "string", "name": "string", "qualifier": "string", "receiver_hint": "string", "receiver_type": "string", "receiver_type_source": "string", "line": "long", "col": "long"}
+_DIAGNOSTIC = {"kind": "string", "cause": "string", "node_kind": "string", "start_line": "long", "start_col": "long", "end_line": "long", "end_col": "long"}
 _BASE = {"from": "int", "names": "array<string>"}
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -160,7 +161,7 @@ class _File:
                 else:
                     continue
                 form, kind, name, qualifier, hint = row
-                self.calls.append(dict(caller=caller, form=form, target_kind=kind, name=name, qualifier=qualifier, receiver_hint=hint, line=line, col=self._col(line, byte)))
+                self.calls.append(dict(caller=caller, form=form, target_kind=kind, name=name, qualifier=qualifier, receiver_hint=hint, receiver_type=None, receiver_type_source=None, line=line, col=self._col(line, byte)))
 
     def _plain(self, name: str) -> tuple:
         target = self.named.get(name)
@@ -194,16 +195,27 @@ class _File:
         return words[-1] if words and len(words[-1]) <= HINT else None
 
 
-def facts(path: str, text: str | None) -> tuple[list[dict], list[dict], list[dict], int]:
-    """Symbols, calls and bases of one file, and its number of diagnostics."""
+def read(path: str, text: str | None) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
+    """Symbols, calls, bases and diagnostics (one at most) of one file."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             # One line ends as another does, for ast and for the columns here; form feeds are blanks.
             f = _File(path, (text or "").replace("\r\n", "\n").replace("\r", "\n").replace("\f", " "))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return [], [], [], 1
-    return f.symbols, f.calls, f.bases, 0
+    except SyntaxError as e:
+        line, col = max(e.lineno or 1, 1), max(e.offset or 1, 1)
+        end = (e.end_lineno, e.end_offset) if e.end_lineno and e.end_offset else (line, col)
+        end = end if end >= (line, col) else (line, col)
+        return [], [], [], [dict(kind="error", cause="syntax", node_kind="ERROR" if e.lineno else "<unlocated-error>", start_line=line, start_col=col, end_line=end[0], end_col=end[1])]
+    except (ValueError, RecursionError, MemoryError):
+        return [], [], [], [dict(kind="error", cause="unreadable", node_kind="<unlocated-error>", start_line=1, start_col=1, end_line=1, end_col=1)]
+    return f.symbols, f.calls, f.bases, []
+
+
+def facts(path: str, text: str | None) -> tuple[list[dict], list[dict], list[dict], int]:
+    """Symbols, calls and bases of one file, and its number of diagnostics."""
+    s, c, b, errors = read(path, text)
+    return s, c, b, len(errors)
 
 
 def _type(fields: dict[str, str]) -> tuple[str, pa.DataType]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +91,27 @@ class Store:
     def read(self, name: str, revision: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/revisions/{revision or self.current()}/{name}")
 
+    def revoke(self, revision: int) -> None:
+        """Says that a revision is no longer fresh, as something has changed that it doesn't show. Readers find it stale from
+        now on; the next revision is fresh again."""
+        fs, p = self._fs(f"{self.root}/revoked/{revision}")
+        fs.create(p, True).close()
+
+    def revoked(self, revision: int) -> bool:
+        fs, p = self._fs(f"{self.root}/revoked/{revision}")
+        return fs.exists(p)
+
+    def wait(self, beyond: int, seconds: float = 30.0, every: float = 0.1) -> int | None:
+        """The first revision after `beyond` that isn't revoked, as soon as there is one; None when time is up."""
+        end = time.monotonic() + seconds
+        while True:
+            now = self.current()
+            if now > beyond and not self.revoked(now):
+                return now
+            if time.monotonic() >= end:
+                return None
+            time.sleep(every)
+
     def require(self, at_least: int) -> int:
         """The published revision; NotFresh if it is older than at_least."""
         now = self.current()

@@ -7,8 +7,8 @@ import pytest
 
 from graphloom import engine
 from graphloom.operators import related, search
-from graphloom.sources import git
-from graphloom.sources.store import NotFresh
+from graphloom.sources import git, graph, precise
+from graphloom.sources.store import NotFresh, Store
 
 CODE = {
     "src/a.py": "def target(x):\n    return x\n\n\ndef caller():\n    target(1)\n    target(2)\n    target(3)\n    target(4)\n\n\nclass Base:\n    def go(self):\n        return target(5)\n\n\nclass Sub(Base):\n    def own(self):\n        self.go()\n        lost()\n",
@@ -19,12 +19,15 @@ CODE = {
 
 
 @pytest.fixture(scope="module")
-def snap(spark):
+def snap(spark, tmp_path_factory):
+    """A stored revision; answers read it and parse nothing."""
     d = spark.createDataFrame(list(CODE.items()), "path string, text string")
     d = d.select("path", search.path_language(d.path).alias("language"), search.path_role(d.path).alias("role"), "text")
-    s = engine.build(d, 7)
-    for name in ("symbols", "sites", "edges"):
-        setattr(s, name, getattr(s, name).persist())
+    store = Store(spark, str(tmp_path_factory.mktemp("store")))
+    graph.publish(store, d)
+    s = engine.open_store(store)
+    s.revision = 7
+    assert "MapInArrow" not in s.edges._jdf.queryExecution().toString()
     return s
 
 
@@ -44,7 +47,13 @@ def test_names_are_not_guessed(snap):
     with pytest.raises(NotFresh):
         e.callers("a::target")
     assert e.callers("a::target", allow_stale=True).fresh is False
+    again = engine.Snapshot(**{**snap.__dict__, "fresh": True})
+    e = engine.Engine(snap, renew=lambda: again)
+    assert e.callers("a::target").fresh is True and e.s is again
     snap.fresh = True
+    for bad in ({"languages": [""]}, {"package": " "}, {"package": "x" * 257}, {"roles": ["test"] * 17}):
+        with pytest.raises(engine.InvalidRequest):
+            engine.Engine(snap).repo_map(**bad)
 
 
 def test_callers_never_cross_languages(snap):

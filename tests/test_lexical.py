@@ -27,14 +27,14 @@ FILES = {
     "src/w/a.ts": (
         'import {a as b} from "./m";\nexport interface Q { n: number; f(x: string): void }\nexport class W extends V implements Q {\n  n: number = 1;\n  constructor(x) { super(x); this.f("}"); }\n  f(x: string): void { b(x); new V(); W.g(); }\n}\nexport const g = (x: number) => { return h(x); };\nfunction h(x) { return x; }\ntype T = string;\nit("does it", () => { h(1); });\n',
         "interface w::a::Q, property w::a::Q::n, method w::a::Q::f, class w::a::W, property w::a::W::n, method w::a::W::constructor, method w::a::W::f, function w::a::g, function w::a::h, type_alias w::a::T, test w::a::does it",
-        "constructor member method f W, f function function b None, f scoped method constructor V, f scoped method g W, g function function h None, does it function function h None",
+        "constructor member method f W, f scoped function a w::m, f scoped method constructor V, f scoped method g W, g function function h None, does it function function h None",
         "extends w::a::V, implements w::a::Q",
     ),
-    "a.js": ('const m = require("./m");\nclass A { f() { return m.x(1); } }\nexports.z = function (q) { return q(); };\n', "constant a::m, class a::A, method a::A::f, function a::z", "f member method x None, z function function q None", ""),
+    "a.js": ('const m = require("./m");\nclass A { f() { return m.x(1); } }\nexports.z = function (q) { return q(); };\n', "constant a::m, class a::A, method a::A::f, function a::z", "f scoped function x m, z function function q None", ""),
     "a.php": (
         "<?php\nnamespace App\\Http;\nuse App\\M;\nclass C extends B implements I {\n  const X = 1;\n  private ?int $p = 2;\n  public function go($a) { $this->run(); M::make(); self::q(); helper(); $a?->x(); new M(); }\n  public function testIt() {}\n}\nfunction helper() {}\n",
         "module App::Http, class App::Http::C, constant App::Http::C::X, property App::Http::C::p, method App::Http::C::go, test App::Http::C::testIt, function App::Http::helper",
-        "go member method run C, go scoped method make M, go scoped method q C, go function function helper None, go nullsafe_member method x None, go scoped method __construct M",
+        "go member method run C, go scoped method make App::M, go scoped method q C, go function function helper None, go nullsafe_member method x None, go scoped method __construct App::M",
         "extends App::Http::B, implements App::Http::I",
     ),
     "a.cs": (
@@ -84,6 +84,54 @@ def test_odd_files():
             lexical.facts(path, junk)
 
 
+def test_diagnostics_have_places():
+    r = lexical.read("a.go", "package x\nfunc a() { b( }\n")
+    assert r[3] == 1 and r[4] == [dict(kind="missing", cause="bracket", node_kind="(", start_line=2, start_col=13, end_line=2, end_col=14)]
+    r = lexical.read("a.rs", "fn f() {}\n" + ")" * 100)
+    assert r[3] == 100 and len(r[4]) == lexical.KEPT and r[4][-1]["start_col"] == lexical.KEPT and r[4][0]["kind"] == "error"
+    r = lexical.read("a.py", "x = 1\nif :\n")
+    assert r[3] == 1 and (r[4][0]["start_line"], r[4][0]["start_col"]) == (2, 4)
+
+
+PHP = """<?php
+namespace App;
+use Lib\\Mail;
+use Lib\\Log as L;
+class Base { public function up() {} }
+class A extends Base {
+  private Mail $mail;
+  public function __construct(private L $log, Plain $plain) { $plain->a(); }
+  public function go(Mail $given, int $n, $free) {
+    $this->mail->b(); $this->log->c(); $given->d(); $n->e(); $free->f();
+    $made = new Top(); $made->g(); $made = other(); $made->h();
+    app(Mail::class)->i(); parent::up(); self::go(); Mail::j(); \\Root\\T::k(); $this->l();
+  }
+}
+"""
+
+
+def test_php_receivers():
+    got = {c["name"]: (c["receiver_type"], c["receiver_type_source"]) for c in lexical.facts("a.php", PHP)[1]}
+    assert got["a"] == ("App::Plain", "parameter") and got["b"] == ("Lib::Mail", "property") and got["c"] == ("Lib::Log", "promoted_property") and got["d"] == ("Lib::Mail", "parameter")
+    assert got["e"] == got["f"] == got["h"] == (None, None) and got["g"] == ("App::Top", "local_new") and got["i"] == ("Lib::Mail", "service_locator") and got["up"] == ("App::Base", "parent_type")
+    assert got["go"] == ("A", "self_type") and got["j"] == ("Lib::Mail", "scoped_type") and got["k"] == ("Root::T", "scoped_type") and got["l"] == ("A", "this")
+
+
+def test_imports_name_what_is_called():
+    call = lambda path, text: {c["name"]: c["qualifier"] for c in lexical.facts(path, text)[1]}
+    ts = "import { a as b, c } from './mod';\nimport * as ns from '../x/index';\nimport { out } from 'pkg';\nfunction f() { b(); c(); ns.d(); out(); }\n"
+    assert call("src/w/a.ts", ts) == {"a": "w::mod", "c": "w::mod", "d": "x", "out": None}
+    js = "const m = require('./m.js');\nconst { p: q } = require('./n');\nfunction f() { m.go(); q(); }\n"
+    assert call("lib/a.js", js) == {"go": "lib::m", "p": "lib::n", "require": None} or call("lib/a.js", js) == {"go": "lib::m", "p": "lib::n"}
+    assert call("A.java", "package k;\nimport static x.y.Z.make;\nclass A { void f() { make(); own(); } }\n") == {"make": "x::y::Z", "own": None}
+    assert call("A.cs", "using static X.Y;\nusing L = M.N;\nclass A { void F() { Go(); L.Do(); Mine(); } void Mine() { } }\n") == {"Go": "X::Y", "Do": "M::N", "Mine": None}
+
+
+def test_go_groups_and_build_constraints():
+    s = lexical.facts("a.go", "//go:build linux && !arm\n\npackage w\n\nconst (\n\tA = 1\n\tB, C\n)\nvar (\n\tx int = 2\n)\nfunc F() {}\n")[0]
+    assert {(x["kind"], x["qualified_name"]) for x in s} == {("import", "w::a::build::linux && !arm"), ("constant", "w::a::A"), ("constant", "w::a::B"), ("constant", "w::a::C"), ("property", "w::a::x"), ("function", "w::a::F")}
+
+
 def test_files_of_all_languages_to_resolved_calls(spark):
     d = spark.createDataFrame([(p, x[0]) for p, x in FILES.items()] + [("p.py", "def one():\n    return one()\n"), ("n.rs", None)], "path string, text string")
     parsed = lexical.parse(d)

@@ -1,5 +1,5 @@
 from graphloom.operators import resolve
-from graphloom.sources import python_code, worktree
+from graphloom.sources import manifests, python_code, worktree
 
 CODE = '''import a.b
 import os.path as p
@@ -57,14 +57,14 @@ def test_folder_to_resolved_calls(spark, tmp_path):
 
 def test_manifests(spark):
     rows = [
-        ("a/package.json", '{"name": "js"}', "js"), ("a/composer.json", "not json", None), ("pyproject.toml", '[tool]\nname = "no"\n[project]\nversion = "1"\nname = "py"\n', "py"), ("b/pyproject.toml", '[project]\nversion = "1"\n[tool]\nname = "no"\n', None),
+        ("a/package.json", '{"name": "js"}', "js"), ("a/composer.json", "not json", None), ("pyproject.toml", '[tool]\nname = "no"\n[project]\nversion = "1"\nname = "py"\n', "py"), ("b/pyproject.toml", '[project]\nversion = "1"\n[tool]\nname = "no"\n', "b"),
         ("c/pom.xml", "<project><parent><artifactId>up</artifactId></parent><artifactId>own</artifactId></project>", "own"), ("d/go.mod", "module ex.org/m\n", "ex.org/m"),
-        ("e/settings.gradle", "rootProject.name = 'g'\n", "g"), ("f/Lib.csproj", "<Project/>", "Lib"), ("f/readme.md", "name", None), ("g/package.json", None, None),
+        ("e/settings.gradle", "rootProject.name = 'g'\n", "g"), ("f/Lib.csproj", "<Project/>", "Lib"), ("f/readme.md", "name", None), ("g/package.json", None, "g"),
     ]
     d = spark.createDataFrame(rows, "path string, text string, want string")
-    got = d.select("path", "want", worktree.package_name(d.path, d.text).alias("got")).collect()
-    assert [(r.path, r.got) for r in got] == [(r.path, r.want) for r in got]
-    assert {(r.root, r.package_name) for r in worktree.package_roots(d).collect()} >= {("", "py"), ("a", "js")}
+    got = {r.root: r.package_name for r in manifests.roots(d).collect()}
+    assert got == {r[0].rpartition("/")[0]: r[2] for r in rows if r[2]}
+    assert manifests.roots(d.filter("false")).count() == 0
 
 
 def test_reconcile_policy():
