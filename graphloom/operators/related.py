@@ -85,7 +85,8 @@ def syntax_callers(sites: DataFrame, catalog: DataFrame, anchors: DataFrame) ->
     resolved to it. A site that reaches the anchor by several of its keys counts once."""
     key = resolve.keys_of(sites, catalog)
     mine = catalog.join(anchors.select("id").distinct(), "id", "left_semi").select(*key, F.col("id").alias("anchor")).distinct()
-    amb = sites.filter("resolution = 'ambiguous'").join(mine, key)
+    amb, on = resolve.same_key(sites.filter("resolution = 'ambiguous'"), key)
+    amb = amb.join(resolve.same_key(mine, key)[0].select(*on, "anchor"), on)
     sure = sites.filter("resolution = 'resolved'").select(F.col("target").alias("anchor"), "caller").distinct()
     return _groups(amb.join(sure, ["anchor", "caller"], "left_anti"), ["anchor", "caller"])
 
@@ -113,9 +114,12 @@ def site_groups(sites: DataFrame, catalog: DataFrame, anchors: DataFrame, limit:
     wanted = anchors.select(F.col("id").alias("anchor")).distinct()
     own = sites.filter("resolution <> 'resolved'").join(wanted.withColumnRenamed("anchor", "caller"), "caller", "left_semi").withColumn("anchor", F.col("caller"))
     first = catalog.select(*key, "id").distinct().withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).filter(F.col("rn") <= limit + 1)
-    own = own.drop("target").join(first.withColumnRenamed("id", "candidate").withColumn("resolution", F.lit("ambiguous")), [*key, "resolution"], "left").drop("rn", "candidates")
+    own, on = resolve.same_key(own.drop("target", "candidates"), key)
+    first = resolve.same_key(first, key)[0].select(*on, F.col("id").alias("candidate"), F.lit("ambiguous").alias("resolution"))
+    own = own.join(first, [*on, "resolution"], "left")
     mine = catalog.join(wanted.withColumnRenamed("anchor", "id"), "id", "left_semi").select(*key, F.col("id").alias("anchor")).distinct()
-    others = sites.filter("resolution = 'ambiguous'").drop("target", "candidates").join(mine, key).filter("caller <> anchor").withColumn("candidate", F.col("anchor"))
+    others = resolve.same_key(sites.filter("resolution = 'ambiguous'").drop("target", "candidates"), key)[0]
+    others = others.join(resolve.same_key(mine, key)[0].select(*on, "anchor"), on).filter("caller <> anchor").withColumn("candidate", F.col("anchor"))
     both = own.unionByName(others)
     sure = sites.filter("resolution = 'resolved'").select("caller", F.col("target").alias("candidate")).distinct()
     both = both.join(sure, ["caller", "candidate"], "left_anti")

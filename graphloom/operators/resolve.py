@@ -17,6 +17,11 @@ def keys_of(sites: DataFrame, catalog: DataFrame) -> list[str]:
     return (["language"] if "language" in sites.columns and "language" in catalog.columns else []) + KEY
 
 
+def same_key(df: DataFrame, key: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with columns to join by: those of the key, and `_q` for a qualifier, which null has one value of, too."""
+    return df.withColumn("_q", F.coalesce("qualifier", F.lit("\u0000"))), [*(k for k in key if k != "qualifier"), "_q"]
+
+
 def callable_catalog(symbols: DataFrame) -> DataFrame:
     """Each callable symbol under up to four qualifiers: none, container, its full prefix, the prefix's last segment."""
     parts = F.split("qualified_name", "::")
@@ -62,8 +67,9 @@ def relations(edges: DataFrame, keys: list[str]) -> DataFrame:
 def fan_out(sites: DataFrame, catalog: DataFrame, limit: int) -> DataFrame:
     """Ambiguous sites with up to limit + 1 candidates each, by id."""
     cat = catalog.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("id"))).filter(F.col("rn") <= limit + 1)
-    amb = sites.filter("resolution = 'ambiguous'").drop("candidates", "target")
-    return amb.join(cat, KEY).select("seq", "id", F.col("rn").cast("long").alias("position"))
+    amb, on = same_key(sites.filter("resolution = 'ambiguous'").drop("candidates", "target"), KEY)
+    cat = same_key(cat, KEY)[0].select(*on, "id", "rn")
+    return amb.join(cat, on).select("seq", "id", F.col("rn").cast("long").alias("position"))
 
 
 def test_edges(resolved: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from graphloom.operators import delta, related, resolve
-from graphloom.plans import catalog
+from graphloom.plans import answers, catalog, code, projects  # noqa: F401 - each registers its queries in catalog
 from graphloom.sources.store import NotFresh, RevisionConflict, Store
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
