@@ -75,10 +75,11 @@ def page(files: DataFrame, after: str | None, limit: int) -> DataFrame:
     return f.withColumn("beyond", F.row_number().over(Window.orderBy("path")) > limit)
 
 
-def byte_limit(rows: DataFrame, order: list[str], budget: int) -> DataFrame:
-    """The longest prefix of an already bounded section whose JSON array fits the budget."""
+def byte_limit(rows: DataFrame, order: list[str], budget: int, section: list[str] | None = None) -> DataFrame:
+    """The longest prefix of each section whose JSON array fits the budget; without section columns all rows are one, which
+    must be bounded already."""
     size = F.octet_length(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = (Window.partitionBy(*section) if section else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum(size).over(w) + F.count("*").over(w) + 1).filter(F.col("used") <= budget)
 
 

@@ -241,10 +241,11 @@ def multiset_audit(g: Facts) -> DataFrame:
     return delta.multiset_difference(s.filter("kind IN ('method', 'field')").select("name", "kind"), s.filter("kind = 'method' AND id % 2 = 0").select("name", "kind"))
 
 
-@query("""SELECT path, role FROM (SELECT path, role, sum(strlen('{"path":"' || path || '","role":"' || role || '"}')) OVER w + count(*) OVER w + 1 AS used
-  FROM (SELECT path, role FROM files ORDER BY path LIMIT 500) WINDOW w AS (ORDER BY path ROWS UNBOUNDED PRECEDING)) WHERE used <= 16384""")
+@query("""SELECT package, path, role FROM (SELECT package, path, role, sum(strlen('{"package":"' || package || '","path":"' || path || '","role":"' || role || '"}')) OVER w + count(*) OVER w + 1 AS used
+  FROM files WINDOW w AS (PARTITION BY package ORDER BY path ROWS UNBOUNDED PRECEDING)) WHERE used <= 512""")
 def byte_limited(g: Facts) -> DataFrame:
-    return search.byte_limit(g.files().select("path", "role").orderBy("path").limit(500), ["path"], 16384).drop("used")
+    """Each package's files as a section, as many of them as fit into 512 bytes of JSON."""
+    return search.byte_limit(g.files().select("package", "path", "role"), ["path"], 512, ["package"]).drop("used")
 
 
 @query("""SELECT request, arg_min(id, i) AS target FROM (SELECT o_orderkey AS request, unnest(range(3)) AS i, unnest([o_orderpriority || '::none', p.qualified_name, q.qualified_name]) AS qualified_name
@@ -270,6 +271,21 @@ def inherited_methods(g: Facts) -> DataFrame:
     return delta.inherited(a.join(b, "n_regionkey").select("type", "parent", F.lit("extends").alias("relation")), methods)
 
 
+@query("""SELECT type, 'm' AS method, CASE WHEN r = 0 THEN type WHEN r <= 5 THEN 'T' || (k - r + 5) ELSE 'c' || (k - r + 13) END AS owner, 'unique' AS state FROM (SELECT c_custkey AS k, c_custkey % 13 AS r, 'c' || c_custkey AS type, max(c_custkey) OVER () AS top FROM customer)
+  WHERE r = 0 OR (r <= 5 AND k - r + 5 <= top) OR (r > 5 AND k - r + 13 <= top) UNION ALL SELECT 'T' || c_custkey, 'm', 'T' || c_custkey, 'unique' FROM customer WHERE c_custkey % 13 = 5""")
+def inherited_deeply(g: Facts) -> DataFrame:
+    """Chains of thirteen types: the top has the method, and so has a trait of the sixth, which those below it get."""
+    from graphloom.sources.store import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(g.spark)
+    c = g.table("customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 13).alias("r"))
+    name = lambda p, x: F.concat(F.lit(p), x)
+    up = c.filter("r <> 0").select(name("c", F.col("k")).alias("type"), name("c", F.col("k") + 1).alias("parent"), F.lit("extends").alias("relation"))
+    uses = c.filter("r = 5").select(name("c", F.col("k")).alias("type"), name("T", F.col("k")).alias("parent"), F.lit("trait").alias("relation"))
+    own = c.filter("r = 0").select(name("c", F.col("k")).alias("type")).unionByName(uses.select(F.col("parent").alias("type"))).withColumn("method", F.lit("m"))
+    return delta.inherited(up.unionByName(uses), own)
+
+
 _ROLE_PATH = "package || '/' || ['src', 'tests', 'examples', 'benches', 'fixtures', 'generated', 'vendor'][doc_id % 7 + 1] || '/' || doc_id || ['.rs', '.py', '.go', '.tf', '.txt'][doc_id % 5 + 1]"
 
 
@@ -297,10 +313,10 @@ def change_stream(g: Facts) -> DataFrame:
     return reconcile(g.spark, g.root)
 
 
-@query()
+@query("SELECT sum(('0x' || md5(seq || '|' || caller || '|' || resolution || '|' || coalesce(target, -1))[1:8])::BIGINT)::BIGINT AS fingerprint, count(*) AS rows FROM resolved")
 def graph_fingerprint(g: Facts) -> DataFrame:
-    r = _resolved(g).select("seq", "caller", "resolution", "target")
-    return r.agg(F.bit_xor(F.xxhash64(*r.columns)).alias("fingerprint"), F.count("*").alias("rows"))
+    """One number that changes with any row, whatever their order."""
+    return delta.fingerprint(_resolved(g).select("seq", "caller", "resolution", F.coalesce("target", F.lit(-1)).alias("target")))
 
 
 #: One Python module a supplier; K stands for its key.
@@ -373,17 +389,10 @@ def related_tests(g: Facts) -> DataFrame:
 
 
 @query(f"""SELECT anchor, caller, count(*) AS sites, {_PLACES} FROM (SELECT DISTINCT c.id AS anchor, r.caller, r.seq, r.line FROM catalog c JOIN resolved r
-    ON r.target_kind = c.target_kind AND r.name = c.name AND r.qualifier = c.qualifier WHERE resolution = 'ambiguous' AND c.id % 8 = 4) x
+    ON r.target_kind = c.target_kind AND r.name = c.name AND r.qualifier = c.qualifier WHERE resolution = 'ambiguous') x
   WHERE NOT EXISTS (SELECT 1 FROM resolved y WHERE y.resolution = 'resolved' AND y.caller = x.caller AND y.target = x.anchor) GROUP BY anchor, caller""")
 def syntax_callers(g: Facts) -> DataFrame:
-    s = g.symbols().filter("kind = 'method'")
-    r = related.syntax_callers(_resolved(g), resolve.callable_catalog(s), s.filter("id % 8 = 4"))
-    return r.select("anchor", "caller", "sites", _joined("lines").alias("lines"), "omitted")
-
-
-@query()
-def syntax_callers_all(g: Facts) -> DataFrame:
-    """syntax_callers with every method as an anchor. The SQL above is for an eighth of them, so this has none."""
+    """Ambiguous callers of every method."""
     s = g.symbols().filter("kind = 'method'")
     r = related.syntax_callers(_resolved(g), resolve.callable_catalog(s), s)
     return r.select("anchor", "caller", "sites", _joined("lines").alias("lines"), "omitted")
