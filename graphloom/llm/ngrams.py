@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
@@ -42,8 +42,11 @@ from graphloom.llm.arrays import U, code_points, lower_ascii, mix64, same_segmen
 WORDS, NUM, DEN = 5, 80, 100
 SLOTS, CHUNKS, FLUSH = 1 << 20, 64, 3_000_000
 #: Texts up to this number are picked by a broadcast of their keys (56 bytes each); more by a shuffle.
-BROADCAST_NODES = 50_000
+BROADCAST_NODES = 200_000
 LEADER_ROUNDS = 2
+#: Shingles of this level (log2 of the repetitions counted) or more are hot: their rows are dealt over SALTS tasks, and all
+#: are kept. Of other shingles those of one set alone are dropped.
+HOT, SALTS = 10, 64
 #: Keys of texts that a task remembers; it forgets them beyond that, and then sends some text twice.
 MOST_MET = 500_000
 _FOUND_NAMES = ["doc_id", "md5", "n", "d1", "d2", "chunk", "counts"]
@@ -139,7 +142,8 @@ def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], levels: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """h, pos, n, d1, d2: the prefix of each set, rarest shingle first; of texts that the task has met, nothing more."""
+    """h, pos, n, d1, hot: the prefix of each set, rarest shingle first, with the first half of its text's key, and
+    whether the order counts h often; of texts that the task has met, nothing more."""
     met: set[bytes] = set()
     for _, texts in common.text_chunks(batches):
         fresh = {k: t for k, t in zip(_keys(texts), texts, strict=True) if k not in met}
@@ -147,14 +151,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], levels: np.ndarray) -> Iterator
         s, first = shingle_sets(list(fresh.values()))
         n = np.diff(first)
         doc = np.repeat(np.arange(len(fresh)), n)
-        order = np.lexsort((s, levels[_slot(s)], doc))
-        s = s[order].view(np.int64)
+        level = levels[_slot(s)]
+        order = np.lexsort((s, level, doc))
+        s, level = s[order].view(np.int64), level[order]
         take = np.where(n > 0, n - -(-NUM * n // DEN) + 1, 0)
         pos = np.arange(len(s)) - first[:-1][doc]
         keep = pos < take[doc]
         doc = doc[keep]
         if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(n[doc].astype(np.int32)), *(x.take(pa.array(doc)) for x in _halves(list(fresh)))], ["h", "pos", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(n[doc].astype(np.int32)), _halves(list(fresh))[0].take(pa.array(doc)), pa.array(level[keep] >= HOT)], ["h", "pos", "n", "d1", "hot"])
 
 
 def plain_shingles(text: str) -> set[tuple[bytes, ...]]:
@@ -276,7 +281,7 @@ def _derived() -> Column:
 
 
 def _solve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, md5, n, node of every row (node null where the set is empty), and node, comp of linked nodes."""
+    """doc_id, md5, n, d1, d2 of every row, and d1, d2, doc_id (the least one), comp of every node."""
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select("doc_id", "text", _md5(F.col("text")).alias("md5"))
@@ -286,40 +291,50 @@ def _solve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     width = SLOTS // CHUNKS
     for chunk, raw in found.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_levels, "chunk int, levels binary").collect():  # SLOTS bytes in all
         levels[chunk * width : (chunk + 1) * width] = np.frombuffer(raw, np.uint8)
-    nodes = sets.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "md5")).alias("v"))
-    nodes = common.materialise(nodes.select("d1", "d2", "v.doc_id", "v.md5", F.monotonically_increasing_id().alias("node")), "nodes")
+    nodes = sets.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "md5", "n")).alias("v"))
+    nodes = common.materialise(nodes.select("d1", "d2", "v.doc_id", "v.md5", F.col("v.n").cast("int").alias("n"), F.monotonically_increasing_id().alias("node")), "nodes")
 
     shared = spark.sparkContext.broadcast(levels)
-    index = docs.select("text").mapInArrow(lambda it: _prefixes(it, shared.value), "h long, pos int, n int, d1 long, d2 long")
-    index = common.materialise(index, "prefixes")
-    several = index.groupBy("h").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.min("d2").alias("c"), F.max("d2").alias("d")).filter("a < b OR c < d").select("h")
-    lists = index.join(several, "h").groupBy("h", "d1", "d2").agg(F.min("pos").alias("pos"), F.min("n").alias("n"))
-    lists = common.materialise(lists.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("h", "node", "n", "pos"), "lists", index)
-
-    near = common.materialise(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "md5"), "linked-nodes")
+    index = docs.select("text").mapInArrow(lambda it: _prefixes(it, shared.value), "h long, pos int, n int, d1 long, hot boolean")
+    index = index.withColumn("salt", F.when(F.col("hot"), F.pmod("d1", F.lit(SALTS))).otherwise(0))
+    w = Window.partitionBy("h", "salt")
+    index = index.withColumns({"lo": F.min("d1").over(w), "hi": F.max("d1").over(w), "least": F.min("n").over(w), "most": F.max("n").over(w)}).filter("hot OR lo < hi OR least < most")
+    lists = index.groupBy("h", "salt", "d1", "n").agg(F.min("pos").alias("pos"))
+    # d1 and n may stand for several nodes: each then is in the list, which costs a comparison, and they are compared.
+    lists = common.materialise(lists.join(nodes.select("d1", "n", "node"), ["d1", "n"]).select("h", "node", "n", "pos"), "lists")
+    alike = nodes.groupBy("d1", "n").agg(F.min("node").alias("x"), F.max("node").alias("most")).filter("x < most").drop("most")
+    alike = common.materialise(alike.join(nodes.select("d1", "n", F.col("node").alias("y")), ["d1", "n"]).filter("x < y").select("x", "y"), "alike")
+
+    linked = lists.select("node").unionByName(alike.select(F.explode(F.array("x", "y")).alias("node"))).distinct()
+    near = common.materialise(nodes.join(linked, "node", "left_semi").select("node", "doc_id", "md5"), "linked-nodes")
     pick = F.broadcast(near) if near.count() <= BROADCAST_NODES else near
     texts = docs.join(pick.withColumnsRenamed({"doc_id": "d", "md5": "m"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("md5") == F.col("m")))
-    texts = common.materialise(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = common.materialise(texts.select("node", "text"), "texts")
+    if not texts.groupBy("node").count().filter("count > 1").isEmpty():
+        texts = common.materialise(texts.dropDuplicates(["node"]), "texts", texts)
 
     known = spark.createDataFrame([], _KNOWN)
     label = spark.createDataFrame([], "node long, comp long")
     for turn in range(LEADER_ROUNDS + 1):
         pairs = _leader_pairs(lists, label) if turn < LEADER_ROUNDS else _rest_pairs(lists, label, known)
+        pairs = pairs if turn else pairs.unionByName(alike)
         done = known.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
         pairs = pairs.withColumns({"p": F.least("x", "y"), "q": F.greatest("x", "y")}).dropDuplicates(["p", "q"]).join(done, ["p", "q"], "left_anti")
         pairs = pairs.selectExpr("x AS a", "y AS b").join(texts.selectExpr("node AS a", "text AS text_a"), "a").join(texts.selectExpr("node AS b", "text AS text_b"), "b")
         new = common.materialise(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_compare, _KNOWN), "compared")
         known = known.unionByName(new)
         label = components(known.filter(f"{DEN} * shared >= {NUM} * together"))
-    return sets.join(nodes.select("d1", "d2", "node", F.col("doc_id").alias("least")), ["d1", "d2"], "left").select("doc_id", "md5", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "least"), label
+    nodes = nodes.join(label, "node", "left").select("d1", "d2", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    return sets, nodes
 
 
 def join_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    rows, label = _solve(docs)
-    rows = common.materialise(rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "classes")
-    least = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("component_id"))
-    return rows.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    sets, nodes = _solve(docs)
+    least = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = nodes.join(least, "comp").select("d1", "d2", "component_id")
+    out = sets.join(named, ["d1", "d2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -327,9 +342,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows with an empty set all stay. Of rows that agree in doc_id and text and are to stay, any one does.
     """
-    rows, label = _solve(docs)
-    rows = rows.filter("node IS NOT NULL").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    place = rows.groupBy("comp", "doc_id", "md5").agg(F.count("*").alias("times"))
+    sets, nodes = _solve(docs)
+    rows = sets.filter("n > 0").groupBy("d1", "d2", "doc_id", "md5").agg(F.count("*").alias("times"))
+    place = rows.join(nodes.select("d1", "d2", "comp"), ["d1", "d2"])
     stay = place.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "md5", "times")).alias("v"))
     stay = common.materialise(stay.select(F.col("v.doc_id").alias("_d"), F.col("v.md5").alias("_m"), "v.times"), "representatives")
     filled = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")

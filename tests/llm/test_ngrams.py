@@ -1,5 +1,6 @@
 """The n-gram join against comparison of all pairs."""
 
+import hashlib
 import random
 import re
 
@@ -68,8 +69,10 @@ def test_documents(spark, sf, docs):
 
 @pytest.mark.parametrize("rounds", [0, 1, 2])
 def test_near_copies(spark, monkeypatch, rounds):
-    """With leaders' answers to derive from or none, and texts picked by a join instead of a broadcast."""
+    """With leaders' answers to derive from or none, texts picked by a join instead of a broadcast, and lists that count as
+    hot or not."""
     monkeypatch.setattr(ngrams, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr(ngrams, "HOT", rounds)
     monkeypatch.setattr(ngrams, "BROADCAST_NODES", 0 if rounds == 1 else 50_000)
     rows = near_copies(3, 6, 25)
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want(rows)
@@ -104,6 +107,13 @@ def test_words_that_hash_alike_are_compared(spark, monkeypatch):
         assert (r["shared"], r["together"]) == (len(x & y), len(x | y))
 
 
+def test_keys_that_share_a_half_are_compared(spark, monkeypatch):
+    """Texts whose keys have one first half and whose sets are of one size."""
+    monkeypatch.setattr(ngrams, "_keys", lambda texts: [b"12345678" + hashlib.blake2b(ngrams.canonical(t), digest_size=8).digest() for t in texts])
+    rows = near_copies(5, 2, 12)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want(rows)
+
+
 CASES = [
     (1, "one two three four five six"),
     (1, "one two three four five six"),
