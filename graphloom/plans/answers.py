@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import text
 from graphloom.operators import delta, quality, related, resolve, search
 from graphloom.plans.catalog import _EDGES, _edges, _joined, _resolved, query
 from graphloom.plans.projects import _sql
 from graphloom.schema import EDGE_KINDS, LANGUAGES, ROLES
+from graphloom.sources import graph
 from graphloom.sources.facts import SLOT, Facts
+from graphloom.streaming import live
 
 
 def _ordered(df: DataFrame, order: list[Column], most: int) -> DataFrame:
@@ -301,3 +304,42 @@ def disjoint_languages(g: Facts) -> DataFrame:
     f = g.files()
     names = sorted(r[0] for r in f.select("language").distinct().collect() if r[0])
     return quality.disjoint_union({n: f.filter(F.col("language") == n) for n in names}).groupBy("language").agg(F.count("*").alias("files"))
+
+
+# Places, ids and events
+
+
+@query("""SELECT path, length(array_to_string(ls[1 : l - 1], chr(10))) + CASE WHEN l > 1 THEN 1 ELSE 0 END + 2 AS at, l + len(string_split(said, chr(10))) - 1 AS line, CASE WHEN contains(said, chr(10)) THEN length(string_split(said, chr(10))[-1]) + 1 ELSE 3 + length(said) END AS col
+  FROM (SELECT path, ls, l, array_to_string(ls[1 : l], chr(10)) AS said FROM (SELECT path, string_split(text, chr(10)) AS ls, doc_id % 4 + 1 AS l FROM files))""")
+def text_places(g: Facts) -> DataFrame:
+    """Offsets of places, and places behind texts, in every document."""
+    f = g.files().withColumn("l", F.col("doc_id") % 4 + 1)
+    said = F.array_join(F.slice(F.split("text", "\n", -1), F.lit(1), F.col("l").cast("int")), "\n")
+    line, col = text.advance(F.col("l"), F.lit(3), said)
+    return f.select("path", text.offset(F.col("text"), F.col("l"), F.lit(3)).alias("at"), line.alias("line"), col.alias("col"))
+
+
+@query(f"""SELECT id, language, row_number() OVER (PARTITION BY language ORDER BY path, id) - 1 AS local_id FROM (SELECT *, {_sql(LANGUAGES)}[(id % {SLOT} % 11)::INT + 1] AS language FROM symbols)""")
+def numbered_symbols(g: Facts) -> DataFrame:
+    """Dense ids by language, in the order of paths and declarations."""
+    return graph.number(_with_role(g.symbols())).select("id", "language", F.col("local_id").cast("long").alias("local_id"))
+
+
+_AT = "epoch_ms(ts)"
+
+
+@query(f"""SELECT event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY run, piece) - 1 AS burst FROM (SELECT *, floor((at - min(at) OVER (PARTITION BY user_id, run)) / 3600000) AS piece FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY at) AS run FROM (
+    SELECT event_id, user_id, at, CASE WHEN at - lag(at) OVER (PARTITION BY user_id ORDER BY at) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM (SELECT *, {_AT} AS at FROM events))))""")
+def bounded_bursts(g: Facts) -> DataFrame:
+    """Bursts of a user's events, half an hour apart at most, cut where they last an hour."""
+    e = g.table("events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return live.bursts(e, ["user_id"], 1_800_000, 3_600_000).select("event_id", F.col("burst").cast("long").alias("burst"))
+
+
+@query("""SELECT event_id, path FROM (SELECT event_id, user_id, event_type, CASE WHEN user_id % 5 = 0 THEN 'a/.git/x' WHEN user_id % 5 = 1 THEN '.gitignore' ELSE 'src/' || user_id || '.py' END AS path FROM events) WHERE event_type <> 'view' AND user_id % 5 <> 0""")
+def relevant_events(g: Facts) -> DataFrame:
+    """Events that may change sources: views stand for accesses, purchases for a close after writing."""
+    u = F.col("user_id")
+    path = F.when(u % 5 == 0, "a/.git/x").when(u % 5 == 1, ".gitignore").otherwise(F.concat(F.lit("src/"), u, F.lit(".py")))
+    kind = F.when(F.col("event_type") == "view", "access_read").when(F.col("event_type") == "purchase", "access_close_write").otherwise("modify")
+    return live.relevant(g.table("events").select("event_id", path.alias("path"), kind.alias("kind"))).select("event_id", "path")
