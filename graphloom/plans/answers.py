@@ -328,8 +328,8 @@ def numbered_symbols(g: Facts) -> DataFrame:
 _AT = "epoch_ms(ts)"
 
 
-@query(f"""SELECT event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY run, piece) - 1 AS burst FROM (SELECT *, floor((at - min(at) OVER (PARTITION BY user_id, run)) / 3600000) AS piece FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY at) AS run FROM (
-    SELECT event_id, user_id, at, CASE WHEN at - lag(at) OVER (PARTITION BY user_id ORDER BY at) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM (SELECT *, {_AT} AS at FROM events))))""")
+@query(f"""SELECT event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY run, piece) - 1 AS burst FROM (SELECT *, floor((ms - min(ms) OVER (PARTITION BY user_id, run)) / 3600000) AS piece FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms) AS run FROM (
+    SELECT event_id, user_id, ms, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM (SELECT *, {_AT} AS ms FROM events))))""")
 def bounded_bursts(g: Facts) -> DataFrame:
     """Bursts of a user's events, half an hour apart at most, cut where they last an hour."""
     e = g.table("events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
