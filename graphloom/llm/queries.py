@@ -1,6 +1,6 @@
 """Queries of the corpus operators, by name, and SQL for those that SQL can express."""
 
-from graphloom.llm import lines
+from graphloom.llm import lines, ngrams
 from graphloom.llm.binary import op7_binary_ids
 from graphloom.llm.fingerprints import op3_fingerprints
 from graphloom.llm.language import op2_language
@@ -14,4 +14,4 @@ from graphloom.llm.quality import op1_quality
 
 _ALL = (op1_quality, op2_language, op3_fingerprints, op4_mixing, op5_personal_data, op6_ngram_join, op7_binary_ids, op8_packing, op9_media, op10_line_dedup)
 QUERIES = {q.__name__: q for q in _ALL}
-ORACLE = {"op10_line_dedup": lines.ORACLE}
+ORACLE = {"op6_ngram_join": ngrams.ORACLE, "op10_line_dedup": lines.ORACLE}
