@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import search
+from graphloom.operators import delta, search
 
 #: Folders that never hold sources. Fixed values.
 SKIPPED = [".git", "target"]
@@ -55,9 +55,18 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def read(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:
-    """path (relative to root), language, role, text and n_bytes of each source file of at most max_bytes."""
+def read(spark: SparkSession, root: str, max_bytes: int = 4 << 20, max_files: int | None = None, max_total: int | None = None) -> DataFrame:
+    """path (relative to root), language, role, text and n_bytes of each source file of at most max_bytes.
+
+    With max_files or max_total (bytes), files are admitted in the order of their paths: one that doesn't fit is passed
+    over, and later, smaller ones may still enter. For that the driver holds the names and sizes of all sources.
+    """
     d = _scan(spark, root).withColumn("language", search.path_language(F.col("path"))).filter("language IS NOT NULL").filter(F.col("length") <= max_bytes)
+    if max_files is not None or max_total is not None:
+        sizes = [tuple(r) for r in d.select("path", "length").collect()]
+        most = sum(n for _, n in sizes)
+        kept = delta.admit(sizes, len(sizes) if max_files is None else max_files, max_bytes, most if max_total is None else max_total)
+        d = d.join(spark.createDataFrame([(p,) for p in kept], "path string"), "path", "left_semi")
     d = d.filter(F.is_valid_utf8(F.col("content").cast("string")))
     return d.select("path", "language", search.language_role(F.col("path"), F.col("language")).alias("role"), F.col("content").cast("string").alias("text"), F.col("length").alias("n_bytes"))
 

@@ -49,6 +49,10 @@ def test_folder_to_resolved_calls(spark, tmp_path):
     files = worktree.read(spark, str(tmp_path), 400)
     assert sorted(r.path for r in files.select("path").collect()) == ["src/a.py", "src/b.py"]
     assert tuple(worktree.left_out(spark, str(tmp_path), 400).first()) == (1, 1)
+    sizes = {r.path: r.n_bytes for r in files.collect()}
+    assert [r.path for r in worktree.read(spark, str(tmp_path), 400, max_files=1).collect()] == ["src/a.py"]
+    assert [r.path for r in worktree.read(spark, str(tmp_path), 400, max_total=sizes["src/b.py"]).collect()] in (["src/a.py"], ["src/b.py"])
+    assert worktree.read(spark, str(tmp_path), 400, max_total=5).count() == 0
     parsed = python_code.parse(files)
     r = resolve.resolve(python_code.call_sites(parsed), resolve.callable_catalog(python_code.symbols(parsed)))
     assert {(x["name"], x.resolution, x.target) for x in r.collect()} == {("two", "resolved", "src/b.py#00000000"), ("one", "resolved", "src/a.py#00000000"), ("none", "unresolved", None)}
