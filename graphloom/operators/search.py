@@ -87,23 +87,34 @@ def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
 
 #: Two noncharacters that mark where a match begins and ends; texts hold them nowhere (Unicode keeps them for this).
 _BEGIN, _END = "\ufdd0", "\ufdd1"
+#: Characters shown of a line. Fixed value.
+SHOWN = 512
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each match, with what is shown of its line; a few thousand matches at a time."""
+    names = ["path", "line", "start_column", "end_column", "shown", "omitted"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    rows: list[tuple] = []
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     for batch in batches:
-        row, start, end = [], [], []
-        for i, marked in enumerate(batch.column("marked").to_pylist()):
+        for path, line, body, marked in zip(*(batch.column(c).to_pylist() for c in ("path", "line", "body", "marked")), strict=True):
             head, *rest = marked.split(_BEGIN)
-            at = len(head) + 1
+            at = len(head)
             for part in rest:
                 n = part.index(_END)
                 if n:
-                    row.append(i)
-                    start.append(at)
-                    end.append(at + n)
+                    first = max(0, min(at - (SHOWN - n) // 2, len(body) - SHOWN))
+                    rows.append((path, line, at + 1, at + 1 + n, body[first : first + SHOWN], max(0, len(body) - SHOWN)))
+                    if len(rows) == 4096:
+                        yield batch_of(rows)
+                        rows = []
                 at += len(part) - 1
-        keep = batch.select(["path", "line", "body"]).take(pa.array(row, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["path", "line", "body", "s", "e"])
+    if rows:
+        yield batch_of(rows)
 
 
 def match_all(files: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
@@ -117,9 +128,7 @@ def match_all(files: DataFrame, query: str, regex: bool = False, case_sensitive:
     pattern = F.lit(f"(?{'u' if case_sensitive else 'iu'}:{query if regex else literal})")
     rows = lines(files).filter(F.regexp_like("body", pattern))
     marked = rows.withColumn("marked", F.regexp_replace("body", pattern, F.lit(f"{_BEGIN}$0{_END}")))
-    rows = marked.mapInArrow(_places, "path string, line long, body string, s long, e long")
-    start = F.greatest(F.lit(1), F.least(F.col("s") - F.floor((512 - F.col("e") + F.col("s")) / 2), F.length("body") - 511)).cast("int")
-    return rows.select("path", "line", F.col("s").alias("start_column"), F.col("e").alias("end_column"), F.substring(F.col("body"), start, F.lit(512)).alias("shown"), F.greatest(F.lit(0), F.length("body") - 512).cast("long").alias("omitted"))
+    return marked.mapInArrow(_places, "path string, line long, start_column long, end_column long, shown string, omitted long")
 
 
 def snippets(symbols: DataFrame, files: DataFrame, most_lines: int = 20, most_chars: int = 4096) -> DataFrame:
