@@ -123,11 +123,11 @@ _REPOSITORY = [
     ("lib/z{K}.go", "package z\nfunc broken() { b( }\n"),
 ]
 _MANIFESTS = [("composer.json", '{"name": "v/app", "require": {"laravel/framework": "^11"}, "autoload": {"psr-4": {"App\\\\": "app/"}}}'), ("pyproject.toml", '[project]\nname = "whole"\n'), ("lib/Cargo.toml", '[package]\nname = "lib"\n')]
-_engines: dict[tuple[int, str], engine.Engine] = {}
+_engines: dict[tuple[str, str], engine.Engine] = {}
 
 
 def answers(g: Facts) -> engine.Engine:
-    key = (id(g.spark), g.root)
+    key = (g.spark.sparkContext.applicationId, g.root)
     if key not in _engines:
         files = _filled(g, _REPOSITORY, True)
         files = files.select("path", search.path_language(F.col("path")).alias("language"), search.path_role(F.col("path")).alias("role"), "text")
