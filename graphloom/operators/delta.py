@@ -26,11 +26,17 @@ def innermost(points: DataFrame, symbols: DataFrame) -> DataFrame:
     then by the distance of its columns, then by id. Columns count where both tables have them (col; start_col, end_col)."""
     cols = {"start_col", "end_col"} <= set(symbols.columns) and "col" in points.columns
     ends = ["start_col", "end_col"] if cols else []
-    j = points.join(symbols.select("path", "name", "id", "start_line", "end_line", *ends), ["path", "name"])
     width = [F.abs(F.col("end_col") - F.col("start_col"))] if cols else []
-    j = j.filter("(start_line, start_col) <= (line, col) AND (line, col) < (end_line, end_col)" if cols else "start_line <= line AND line < end_line")
-    key = ["point", "path", "name", "line", *(["col"] if cols else [])]
-    return j.groupBy(*key).agg(F.min(F.struct(F.col("end_line") - F.col("start_line"), *width, F.col("id"))).alias("m")).select(*key, F.col("m.id").alias("id"))
+    within = "(start_line, start_col) <= (line, col) AND (line, col) < (end_line, end_col)" if cols else "start_line <= line AND line < end_line"
+    place = ["path", "name", "line", *(["col"] if cols else [])]
+    best = F.min(F.struct(F.col("end_line") - F.col("start_line"), *width, F.col("id"))).alias("m")
+    if not cols:
+        j = points.join(symbols.select("path", "name", "id", "start_line", "end_line"), ["path", "name"]).filter(within)
+        return j.groupBy("point", *place).agg(best).select("point", *place, F.col("m.id").alias("id"))
+    # Points of one place and symbols of one span meet once, not each with each; of one span the least id is taken anyway.
+    spans = symbols.groupBy("path", "name", "start_line", "end_line", *ends).agg(F.min("id").alias("id"))
+    at = points.select(*place).distinct().join(spans, ["path", "name"]).filter(within).groupBy(*place).agg(best).select(*place, F.col("m.id").alias("id"))
+    return points.select("point", *place).distinct().join(at, place).select("point", *place, "id")
 
 
 def prefer_precise(precise: DataFrame, syntax: DataFrame) -> DataFrame:
