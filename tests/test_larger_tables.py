@@ -32,3 +32,17 @@ def test_many_points_of_one_place_in_many_spans(spark):
     assert counted(got, "numOutputRows", "Join") <= 2 * n
     # [5:0, 5:1) holds column 0 only and is the narrowest; [5:0, 5:2) is the narrowest around column 1.
     assert {(r.col, r.id) for r in got.collect()} == {(0, 10), (1, 11)} and got.count() == n
+
+
+def test_callers_of_many_anchors_of_one_key(spark):
+    n = 300
+    s = spark.range(n).select("id", F.lit("m").alias("name"), F.lit("a::m").alias("qualified_name"), F.lit("a").alias("container"), F.lit("method").alias("kind"))
+    # One more with a key of its own beside theirs: the caller 1000 is resolved to it there, so its pair is left out.
+    s = s.unionByName(spark.createDataFrame([(n, "m", "b::a::m", "a", "method")], s.schema))
+    sites = spark.range(n).select(F.col("id").alias("seq"), (F.col("id") % 150 + 1000).alias("caller"), F.lit("scoped").alias("form"), F.lit("method").alias("target_kind"), F.lit("m").alias("name"), F.lit("a").alias("qualifier"), F.col("id").alias("line"))
+    sites = sites.unionByName(spark.createDataFrame([(n, 1000, "scoped", "method", "m", "b::a", 7)], sites.schema))
+    cat = resolve.callable_catalog(s)
+    got = related.syntax_callers(resolve.resolve(sites, cat), cat, s)
+    assert counted(got, "shuffleRecordsWritten", "Exchange") <= 10 * n
+    rows = {(r.anchor, r.caller): (r.sites, r.lines, r.omitted) for r in got.collect()}
+    assert rows == {(a, c): (2, [c - 1000, c - 850], 0) for a in range(n + 1) for c in range(1000, 1150) if (a, c) != (n, 1000)}
