@@ -117,7 +117,8 @@ def classify(files: DataFrame, projects: DataFrame, targets: DataFrame | None =
     later = F.array_position(F.from_json(family, "array<string>"), F.col("family"))
     up = files.select("path", "language", F.explode(search.ancestors(F.col("path"))).alias("root"), F.from_json(family, "array<string>").alias("families"))
     up = up.select("path", "language", "root", F.explode("families").alias("family"))
-    found = up.join(projects, ["family", "root"]).withColumn("n", F.length("root"))
+    # Merged: Spark's guess at the size of tables from JSON and explode is far too low, and a broadcast would go by it.
+    found = up.join(projects.hint("merge"), ["family", "root"]).withColumn("n", F.length("root"))
     best = found.groupBy("path", "language").agg(F.max(F.struct("n", later.alias("later"), "package_name", "family", "root", "role", "is_test")).alias("v"), F.max("n").alias("most"))
     tied = found.filter("language = 'csharp'").groupBy("path", "n").agg(F.count("*").alias("ties")).select("path", F.col("n").alias("most"), "ties")
     best = best.join(tied, ["path", "most"], "left").filter("coalesce(ties, 1) = 1").select("path", "v.*")
@@ -127,7 +128,7 @@ def classify(files: DataFrame, projects: DataFrame, targets: DataFrame | None =
     out = files.select("path", "language").join(best, "path", "left").withColumns({"role": role, "classification": F.coalesce(kind, F.lit(FALLBACK))})
     if targets is not None:
         said = targets.groupBy("path").agg(F.min_by("role", rank("role", ROLES)).alias("said"))
-        out = out.join(said, "path", "left").withColumn("role", F.when((F.col("language") == "rust") & (F.col("classification") != FALLBACK), F.coalesce("said", "role")).otherwise(F.col("role")))
+        out = out.join(said.hint("merge"), "path", "left").withColumn("role", F.when((F.col("language") == "rust") & (F.col("classification") != FALLBACK), F.coalesce("said", "role")).otherwise(F.col("role")))
     return out.select("path", "language", "role", "classification", "package_name", F.col("root").alias("package_root"))
 
 

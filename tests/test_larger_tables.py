@@ -46,3 +46,8 @@ def test_callers_of_many_anchors_of_one_key(spark):
     assert counted(got, "shuffleRecordsWritten", "Exchange") <= 10 * n
     rows = {(r.anchor, r.caller): (r.sites, r.lines, r.omitted) for r in got.collect()}
     assert rows == {(a, c): (2, [c - 1000, c - 850], 0) for a in range(n + 1) for c in range(1000, 1150) if (a, c) != (n, 1000)}
+
+
+def test_roots_and_targets_from_json_are_not_broadcast(spark, sf):
+    plan = catalog.QUERIES["cargo_targets"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") == 2
