@@ -51,3 +51,12 @@ def test_callers_of_many_anchors_of_one_key(spark):
 def test_roots_and_targets_from_json_are_not_broadcast(spark, sf):
     plan = catalog.QUERIES["cargo_targets"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rightHint=(strategy=merge)") == 2
+
+
+def test_audit_covers_symbols_of_every_kind(spark, sf, monkeypatch):
+    from graphloom.plans import answers  # noqa: F401 - registers its queries in catalog
+
+    symbols = Facts.symbols
+    monkeypatch.setattr(Facts, "symbols", lambda g: symbols(g).unionByName(symbols(g).filter("kind = 'module' AND id = 0")))
+    got = catalog.QUERIES["audit_of_sound_tables"](spark, sf).filter("check_name = 'duplicate_id'")
+    assert [r.violations for r in got.collect()] == [1]
