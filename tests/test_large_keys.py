@@ -8,7 +8,7 @@ import pytest
 
 from graphloom.plans import answers, catalog, code, projects  # noqa: F401 - each registers its queries in catalog
 
-QUERIES = ["resolve_calls", "extension_containers", "graph_fingerprint", "candidate_fan_out", "ambiguous_callers"]
+QUERIES = ["resolve_calls", "extension_containers", "graph_fingerprint", "candidate_fan_out", "ambiguous_callers", "audit"]
 
 
 @pytest.fixture(scope="module")
