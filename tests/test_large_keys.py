@@ -8,7 +8,7 @@ import pytest
 
 from graphloom.plans import answers, catalog, code, projects  # noqa: F401 - each registers its queries in catalog
 
-QUERIES = ["resolve_calls", "extension_containers", "graph_fingerprint", "candidate_fan_out", "ambiguous_callers", "audit", "admitted_sites", "audit_of_sound_tables", "call_candidates", "build_report", "build_report_by_symbols", "candidate_groups", "own_candidates", "degradations", "running_candidates", "indexing_status"]
+QUERIES = ["resolve_calls", "extension_containers", "graph_fingerprint", "candidate_fan_out", "ambiguous_callers", "audit", "admitted_sites", "audit_of_sound_tables", "call_candidates", "build_report", "build_report_by_symbols", "candidate_groups", "own_candidates", "degradations", "running_candidates", "indexing_status", "syntax_callers"]
 
 
 @pytest.fixture(scope="module")
