@@ -74,7 +74,7 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches whose texts (column "text", null: empty) have about `limit` characters."""
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]

@@ -21,8 +21,9 @@ SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
 #: Beyond this code point a text is encoded by the library itself.
 LAST = 0x24F
 _MARK = "￿"
-#: Pieces kept; the store starts anew beyond that.
-MOST_KEPT = 1_500_000
+#: Pieces kept. Beyond that only those met in several calls stay, or none if these are more than half. A worker keeps its
+#: store for all its tasks, and while those of other operators run, too.
+MOST_KEPT = 200_000
 _loaded: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -57,6 +58,34 @@ class Encoder:
         self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.chars, self.chars_used = np.zeros(1 << 20, np.uint32), 0
         self.spelled, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)
+
+    def _shrink(self) -> None:
+        """Keeps the pieces that were met again after the call that brought them."""
+        keep = np.flatnonzero(self.again[: self.table.n])
+        if 2 * len(keep) > MOST_KEPT:
+            self.forget()
+            return
+        filled = self.table.vals >= 0
+        keys = np.zeros(self.table.n, self.table.keys.dtype)
+        keys[self.table.vals[filled]] = self.table.keys[filled]
+        count, size = self.count[keep], self.size[keep]
+        flat, _, begin = flat_index(self.begin[keep], count.astype(np.int64))
+        chars, _, spelled = flat_index(self.spelled[keep], size)
+        flat, chars = self.flat[flat], self.chars[chars]
+        self.forget()
+        self.table.add(keys[keep])
+        self._grow()
+        own = slice(0, len(keep))
+        self.begin[own], self.count[own], self.spelled[own], self.size[own] = begin, count, spelled, size
+        self.flat, self.chars = _room(self.flat, len(flat)), _room(self.chars, len(chars))
+        self.flat[: len(flat)], self.chars[: len(chars)] = flat, chars
+        self.used, self.chars_used = len(flat), len(chars)
+
+    def _grow(self) -> None:
+        while self.table.n > len(self.begin):
+            self.begin, self.count, self.spelled, self.size = (np.resize(x, 2 * len(x)) for x in (self.begin, self.count, self.spelled, self.size))
+            self.again = np.concatenate((self.again, np.zeros_like(self.again)))
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.lib.encode_batch(texts, add_special_tokens=False)]
@@ -128,20 +157,21 @@ class Encoder:
     def _numbers(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = segment_hash(cp, starts, ends)
         number = self.table.find(h)
+        self.again[number[number >= 0]] = True
         fresh = np.flatnonzero(number < 0)
         if not len(fresh):
             return number
         if self.table.n + len(fresh) > MOST_KEPT and self.table.n:
-            self.forget()
-            return self._numbers(cp, starts, ends)
+            self._shrink()
+            number = self.table.find(h)
+            fresh = np.flatnonzero(number < 0)
         new, at = np.unique(h[fresh], return_index=True)
         at = fresh[at]
         pieces = [cp[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         ids = [[t.id for t in self.tokenize(p.encode().decode("latin-1").translate(self.letters))] for p in pieces]
         n, count, size = self.table.n, np.array([len(x) for x in ids], np.int32), ends[at] - starts[at]
         self.table.add(new)
-        while self.table.n > len(self.begin):
-            self.begin, self.count, self.spelled, self.size = (np.resize(x, 2 * len(x)) for x in (self.begin, self.count, self.spelled, self.size))
+        self._grow()
         own = slice(n, self.table.n)
         self.flat = _room(self.flat, self.used + int(count.sum()))
         self.begin[own], self.count[own] = self.used + np.concatenate(([0], np.cumsum(count)[:-1])), count

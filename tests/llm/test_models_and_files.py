@@ -387,3 +387,26 @@ def test_stored_images_have_filtered_rows(odd):
         at = r.media.index(b"IDAT")
         rows = np.frombuffer(zlib.decompress(r.media[at + 4 : at + 4 + int.from_bytes(r.media[at - 4 : at], "big")]), np.uint8)
         assert (rows.reshape(-1, media.WIDTH + 1)[:, 0] == media.ROW_FILTER).all() and media.ROW_FILTER
+
+
+def test_encoder_keeps_a_bounded_store(monkeypatch):
+    """Beyond the bound pieces met again stay, so common ones are not asked for anew, and ids are the library's."""
+    from graphloom.llm import tokens
+
+    assert tokens.MOST_KEPT <= 200_000
+    monkeypatch.setattr(tokens, "MOST_KEPT", 400)
+    for name, style in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        enc = tokens.Encoder(tokens.public_tokenizers.path(name), style)
+        asked, plain = [], enc.tokenize
+        enc.tokenize = lambda p, asked=asked, plain=plain: (asked.append(p), plain(p))[1]
+        for i in range(60):
+            texts = [f"common words stay x{i}q{j}z seldom{i}{j}" for j in range(12)] + ["", "common"]
+            ids, at = enc.encode(texts)
+            right = [x.ids for x in enc.lib.encode_batch(texts, add_special_tokens=False)]
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == right
+            assert enc.table.n <= 400
+        assert len([p for p in asked if p.endswith("words") or p.endswith("words</w>")]) == 1
+        # Where most pieces are met again, the store starts anew.
+        many = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(390))]
+        for texts in (many, many, ["quite other words here for once " * 2, *many]):
+            assert enc.encode(texts)[0].tolist() == [x for e in enc.lib.encode_batch(texts, add_special_tokens=False) for x in e.ids]
