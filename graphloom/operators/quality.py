@@ -167,11 +167,11 @@ def indexing_status(report: DataFrame, indexed: int, skipped: int) -> DataFrame:
     return report.select(F.explode(each).alias("c")).select("c.*")
 
 
-def bounded_build(symbols: DataFrame, edges: DataFrame, sites: DataFrame, max_symbols: int, max_edges: int, max_sites: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bounded_build(symbols: DataFrame, edges: DataFrame, sites: DataFrame, max_symbols: int, max_edges: int, max_sites: int, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """symbols (id, a long), edges (src, dst, seq) and resolved sites (seq, caller, resolution) with what build_report takes.
 
     Symbols are kept by id, then edges with both ends by seq, then call sites in a fold over what room edges have left. If
-    any symbol is left out, no call site is kept.
+    any symbol is left out, no call site is kept. places: see related.admit_sites.
     """
     s = related.running_total(symbols.select("id", "kind"), "id", F.lit(1)).withColumn("admitted", F.col("total") <= max_symbols).drop("total")
     kept = s.filter("admitted").select("id")
@@ -181,7 +181,7 @@ def bounded_build(symbols: DataFrame, edges: DataFrame, sites: DataFrame, max_sy
     e = known.unionByName(e.filter("NOT symbols_known").withColumn("admitted", F.lit(False)))
     all_kept = s.filter("NOT admitted").isEmpty()
     used = known.filter("admitted").count()
-    c = related.admit_sites(sites, symbols.filter("kind = 'test'"), max_sites, max_edges, used)
+    c = related.admit_sites(sites, symbols.filter("kind = 'test'"), max_sites, max_edges, used, places)
     return s, e, c.withColumn("caller_known", F.lit(all_kept)).withColumn("admitted", F.col("admitted") & F.col("caller_known"))
 
 

@@ -60,3 +60,57 @@ def test_audit_covers_symbols_of_every_kind(spark, sf, monkeypatch):
     monkeypatch.setattr(Facts, "symbols", lambda g: symbols(g).unionByName(symbols(g).filter("kind = 'module' AND id = 0")))
     got = catalog.QUERIES["audit_of_sound_tables"](spark, sf).filter("check_name = 'duplicate_id'")
     assert [r.violations for r in got.collect()] == [1]
+
+
+def shuffles(df) -> list[int]:
+    """Runs df; the rows that each of its exchanges has written."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        if p.nodeName().endswith("Exchange") and p.metrics().contains("shuffleRecordsWritten"):
+            rows.append(p.metrics().apply("shuffleRecordsWritten").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return rows
+
+
+def test_sites_are_shuffled_once_to_be_resolved(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = Facts(spark, sf)
+        n = g.table("lineitem").count()
+        assert [x for x in shuffles(catalog._resolved(g)) if x >= n] == [n]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sites_resolved_by_parts_are_those_resolved_one_by_one(spark, sf, monkeypatch):
+    table = Facts.table
+    odd = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_returnflag"))
+    monkeypatch.setattr(Facts, "table", lambda g, name: table(g, name).withColumn("l_returnflag", odd) if name == "lineitem" else table(g, name))
+    g = Facts(spark, sf)
+    cat = resolve.callable_catalog(g.symbols().filter("kind = 'method'"))
+    got = catalog._resolved(g)
+    want = resolve.resolve(g.call_sites(), cat).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    kinds = {tuple(r) for r in got.select("form", F.col("qualifier").isNull()).distinct().collect()}
+    assert kinds == {("member", True), ("scoped", True), ("scoped", False)}
+
+
+def test_admission_sorts_no_more_than_a_range(spark):
+    sites = spark.range(3000).select(F.col("id").alias("seq"), (F.col("id") % 7).alias("caller"), F.lit("resolved").alias("resolution"))
+    tests = spark.range(3).select("id")
+    got = related.admit_sites(sites, tests, 500, 900)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    total = taken = 0
+    want = set()
+    for i in range(3000):
+        cost = 2 if i % 7 < 3 else 1
+        if taken < 500 and total + cost <= 900:
+            want.add(i)
+            total, taken = total + cost, taken + 1
+    assert {r.seq for r in got.filter("admitted").collect()} == want
