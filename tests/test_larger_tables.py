@@ -114,3 +114,36 @@ def test_admission_sorts_no_more_than_a_range(spark):
             want.add(i)
             total, taken = total + cost, taken + 1
     assert {r.seq for r in got.filter("admitted").collect()} == want
+
+
+def widths(df) -> list[tuple[int, int]]:
+    """Runs df; rows and bytes a row that each of its exchanges has written."""
+    df.collect()
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        if p.nodeName().endswith("Exchange") and p.metrics().contains("shuffleRecordsWritten"):
+            n = p.metrics().apply("shuffleRecordsWritten").value()
+            out.append((n, p.metrics().apply("dataSize").value() / max(n, 1)))
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_call_candidates_shuffle_numbers(spark, sf):
+    n = Facts(spark, sf).table("lineitem").count()
+    assert all(width <= 64 for rows, width in widths(catalog.QUERIES["call_candidates"](spark, sf)) if rows > n / 2)
+
+
+def test_call_candidates_of_parts_that_are_there_twice(spark, sf, monkeypatch):
+    table = Facts.table
+    odd = lambda t: t.withColumn("p_brand", F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, F.col("p_brand")))
+    more = lambda t: odd(t).unionByName(t.filter("p_partkey % 2 = 0").withColumns({"p_name": F.lit("red nut"), "p_size": F.lit(1)}))
+    monkeypatch.setattr(Facts, "table", lambda g, name: more(table(g, name)) if name == "part" else table(g, name))
+    got = catalog.QUERIES["call_candidates"](spark, sf)
+    r = catalog._resolved(Facts(spark, sf)).filter("resolution <> 'resolved'").withColumn("qualifier", F.coalesce("qualifier", F.lit("")))
+    want = r.groupBy("caller", "form", "name", "qualifier", "resolution").agg(F.count("*"), F.max("candidates"), F.min("seq"))
+    assert sorted(got.collect()) == sorted(want.collect())
