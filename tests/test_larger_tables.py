@@ -1,5 +1,6 @@
 """What the graph operators shuffle, join and read, by counts that grow faster than tables do."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import delta, related, resolve
@@ -133,9 +134,10 @@ def widths(df) -> list[tuple[int, int]]:
     return out
 
 
-def test_call_candidates_shuffle_numbers(spark, sf):
+@pytest.mark.parametrize("name", ["call_candidates", "own_candidates"])
+def test_candidates_shuffle_numbers(spark, sf, name):
     n = Facts(spark, sf).table("lineitem").count()
-    assert all(width <= 64 for rows, width in widths(catalog.QUERIES["call_candidates"](spark, sf)) if rows > n / 2)
+    assert all(width <= 64 for rows, width in widths(catalog.QUERIES[name](spark, sf)) if rows > n / 2)
 
 
 def test_call_candidates_of_parts_that_are_there_twice(spark, sf, monkeypatch):
