@@ -134,7 +134,7 @@ def widths(df) -> list[tuple[int, int]]:
     return out
 
 
-@pytest.mark.parametrize("name", ["call_candidates", "own_candidates"])
+@pytest.mark.parametrize("name", ["call_candidates", "own_candidates", "candidate_groups"])
 def test_candidates_shuffle_numbers(spark, sf, name):
     n = Facts(spark, sf).table("lineitem").count()
     assert all(width <= 64 for rows, width in widths(catalog.QUERIES[name](spark, sf)) if rows > n / 2)
