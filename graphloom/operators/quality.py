@@ -185,6 +185,35 @@ def bounded_build(symbols: DataFrame, edges: DataFrame, sites: DataFrame, max_sy
     return s, e, c.withColumn("caller_known", F.lit(all_kept)).withColumn("admitted", F.col("admitted") & F.col("caller_known"))
 
 
+def bounded_report(symbols: DataFrame, edges: DataFrame, sites: DataFrame, max_symbols: int, max_edges: int, max_sites: int, places: DataFrame | None = None) -> DataFrame:
+    """The report of a bounded build, as build_report gives it of bounded_build's tables, without making these.
+
+    What is kept ends at one place of each order, so rows are only counted: symbols, edges with both ends, and sites by ranges.
+    """
+    stop, n_kept = related.last_within(symbols.select("id"), "id", max_symbols)
+    ids = symbols.select("id") if stop is None else symbols.select("id").filter(F.col("id") < stop)
+    known = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select("seq")
+    n_known, n_edges = known.count(), edges.count()
+    relations = n_known if n_known <= max_edges else related.last_within(known, "seq", max_edges)[1]
+    related.sweep(edges)
+    none = (0, 0)
+    if stop is None:
+        by_symbols = none
+        found = related.admission_counts(sites, symbols.filter("kind = 'test'"), max_sites, max_edges, relations, places)
+    else:
+        row = related.costs(sites, symbols.filter("kind = 'test'")).agg(F.count("*"), F.coalesce(F.sum("cost"), F.lit(0))).first()
+        by_symbols, found = tuple(row), dict.fromkeys(("admitted", "over", "edges"), none)
+    related.sweep(edges)
+    (retained, call_edges), (over, by_sites), (refused, by_edges) = (found[k] for k in ("admitted", "over", "edges"))
+    out = {
+        "retained_symbols": n_kept, "omitted_symbols": 0 if stop is None else symbols.count() - n_kept, "retained_edges": relations + call_edges,
+        "edges_omitted_by_symbol_budget": n_edges - n_known + by_symbols[1], "edges_omitted_by_edge_budget": n_known - relations + by_edges, "edges_omitted_by_call_site_budget": by_sites,
+        "retained_call_sites": retained, "call_sites_omitted_by_symbol_budget": by_symbols[0], "call_sites_omitted_by_edge_budget": refused, "call_sites_omitted_by_call_site_budget": over,
+        "omitted_edges": n_edges - relations + by_symbols[1] + by_edges + by_sites, "omitted_call_sites": by_symbols[0] + refused + over,
+    }
+    return symbols.sparkSession.createDataFrame([tuple(out.values())], ", ".join(f"{c} long" for c in out))
+
+
 #: Work of a section for each of its results, and its bounds. Fixed values.
 WORK = {"examined": (16, 1024, 8192), "traversal": (32, 2048, 16384), "intermediate": (8, 2048, 4096)}
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import delta, related, resolve
+from graphloom.operators import delta, quality, related, resolve
 from graphloom.plans import answers, catalog, projects  # noqa: F401 - these register their queries in catalog
 from graphloom.sources.facts import Facts
 
@@ -153,3 +153,20 @@ def test_call_candidates_of_parts_that_are_there_twice(spark, sf, monkeypatch):
     r = catalog._resolved(Facts(spark, sf)).filter("resolution <> 'resolved'").withColumn("qualifier", F.coalesce("qualifier", F.lit("")))
     want = r.groupBy("caller", "form", "name", "qualifier", "resolution").agg(F.count("*"), F.max("candidates"), F.min("seq"))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("limits", [(99, 99, 9999), (99, 30, 20), (99, 60, 25), (99, 9, 40), (12, 5, 99)])
+def test_report_of_a_bounded_build_from_counts(spark, limits):
+    symbols = spark.range(30).select("id", F.when(F.col("id") % 3 == 0, "test").otherwise("function").alias("kind"))
+    edges = spark.range(25).select((F.col("id") % 7).alias("src"), (F.col("id") + 8).alias("dst"), (F.col("id") * 2).alias("seq"))
+    n = F.col("id")
+    sites = spark.range(200).select((n * 7 % 200).alias("seq"), (n % 31).alias("caller"), F.when(n % 4 == 1, "ambiguous").otherwise("resolved").alias("resolution"))
+    want = quality.build_report(*quality.bounded_build(symbols, edges, sites, *limits)).first().asDict()
+    assert quality.bounded_report(symbols, edges, sites, *limits).first().asDict() == want
+
+
+@pytest.mark.parametrize("name", ["build_report", "build_report_by_symbols", "degradations", "indexing_status"])
+def test_reports_of_builds_make_no_rows(spark, sf, name):
+    # What is kept is counted, so nothing is shuffled or joined any more when the rows of the report are made.
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
