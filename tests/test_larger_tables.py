@@ -170,3 +170,26 @@ def test_reports_of_builds_make_no_rows(spark, sf, name):
     # What is kept is counted, so nothing is shuffled or joined any more when the rows of the report are made.
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("far", [1, 10**9])
+def test_running_total_shuffles_rows_once(spark, sf, monkeypatch, far):
+    # far: part keys so large that the sites of one caller reach into the next one's by seq.
+    table = Facts.table
+    key = {"part": "p_partkey", "lineitem": "l_partkey"}
+    monkeypatch.setattr(Facts, "table", lambda g, name: table(g, name).withColumn(key[name], F.col(key[name]) * far) if name in key else table(g, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = Facts(spark, sf)
+        n = g.table("lineitem").count()
+        got = catalog.running_candidates(g)
+        # Once by part and once by range.
+        assert [x for x in shuffles(got) if x >= n] == [n, n] and g.ordered_by_caller() == (far == 1)
+        total, want = 0, {}
+        for seq, candidates in sorted(tuple(r) for r in catalog._resolved(g).select("seq", "candidates").collect()):
+            total += candidates
+            want[seq] = total  # sites of one seq share it
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == n and dict(rows) == want and len(set(rows)) == len(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
