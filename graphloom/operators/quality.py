@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,49 +41,76 @@ def audit(files: DataFrame, symbols: DataFrame, edges: DataFrame, sites: DataFra
     file (the file that keeps it), provenance, precision. totals: one row of recorded ambiguous and unresolved sites and
     edges. counts: more (name to a table of violations). Adjacency by source and by target is one table here, so that the
     two sides can't drift apart; what can is that an edge's ends exist.
+
+    Sites are grouped by what they say and how they are resolved, and each group is resolved again once. The checks run one job
+    after the other, and shuffle files of those that have run are let go, so that no two hold the sites at once.
     """
     ids = symbols.select("id")
     missing = lambda df, c: df.filter(F.col(c).isNotNull()).join(ids.withColumnRenamed("id", c), c, "left_anti")
-    per_file = symbols.groupBy("path").agg(F.count("*").alias("n"))
-    own = symbols.select(F.col("id").alias("caller"), F.col("path").alias("home"))
-    again = resolve.resolve(sites.drop("resolution", "target", "candidates"), catalog)
-    said = ["seq", "resolution", "target", "candidates"]
+    out: dict[str, int] = {}
+
+    def run(df: DataFrame) -> None:
+        """Takes the checks of one row, a column each."""
+        out.update({name: n or 0 for name, n in df.first().asDict().items()})
+        related.sweep(df)
+
+    def every(checks: dict[str, DataFrame]) -> None:
+        """Takes checks of as many rows as violations, in one job."""
+        rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in checks.items()]
+        out.update(dict(reduce(DataFrame.unionByName, rows).collect()))
+        related.sweep(rows[0])
+
+    sure = sites.filter("resolution = 'resolved'").select("seq", "caller", "target", "line", "resolution", "provenance", "precision").checkpoint()
+    related.sweep(sure)
     plain = ["kind", "src", "dst", "seq", "line", "provenance", "precision"]
-    calls, expected = edges.filter("owner IS NULL").select(*plain), expected_edges(sites, symbols)
-    lost = multiset_difference(expected, calls).filter("surplus > 0")
-    spare = multiset_difference(calls, expected).filter("surplus > 0")
-    fresh = resolve.callable_catalog(symbols)
-    now = sites.agg(F.count_if(F.col("resolution") == "ambiguous").alias("ambiguous"), F.count_if(F.col("resolution") == "unresolved").alias("unresolved"))
-    n_edges = edges.agg(F.count("*").alias("edges"))
+    differ = multiset_difference(expected_edges(sure, symbols), edges.filter("owner IS NULL").select(*plain))
+    lost = lambda kind: F.count_if((F.col("surplus") > 0) & (F.col("kind") == kind))
+    run(differ.agg(lost("CALLS").alias("resolved_call_edge"), lost("TESTS").alias("resolved_test_edge"), F.count_if(F.col("surplus") < 0).alias("relationship_ownership")))
+    n_edges = edges.count()
+    every({"unknown_source": missing(edges.select("src"), "src"), "unknown_target": missing(edges.select("dst"), "dst")})
+
+    own = symbols.select(F.col("id").alias("caller"), F.col("path").alias("home"), F.lit(True).alias("known"))
+    homes = sites.select("caller", "path").join(own, "caller", "left")
+    unknown = F.col("known").isNull() & F.col("caller").isNotNull()
+    run(homes.agg(F.count_if(unknown).alias("unknown_caller"), F.count_if(F.col("path") != F.col("home")).alias("call_site_location")))
+
+    key, stored = resolve.keys_of(sites, catalog), ["resolution", "target", "candidates"]
+    now: dict[str, int] = {}
+    kinds = set()
+    for kind, resolution, n in sites.groupBy("target_kind", "resolution").count().collect():
+        kinds.add(kind)
+        now[resolution] = now.get(resolution, 0) + n
+    related.sweep(sites)
     typed = F.col("receiver_type").isNull() != F.col("receiver_type_source").isNull() if "receiver_type" in sites.columns else F.lit(False)
-    checks = {
+    said = sites.groupBy("form", *key, *stored).agg(F.count("*").alias("n"), F.count_if(typed).alias("typed")).withColumnsRenamed({c: f"was_{c}" for c in stored})
+    again = resolve.resolve(said, catalog.filter(F.col("target_kind").isin([k for k in kinds if k is not None])))
+    # Groups without a target meet the ids by numbers of their own, so that they don't come together.
+    again = again.withColumn("at", F.coalesce("was_target", -1 - F.abs(F.hash("name", "qualifier")).cast("long")))
+    again = again.join(ids.distinct().select(F.col("id").alias("at"), F.lit(True).alias("known")), "at", "left")
+    same = F.lit(True)
+    for c in stored:
+        same = same & F.col(c).eqNullSafe(F.col(f"was_{c}"))
+    count = lambda c: F.sum(F.when(c, F.col("n")))
+    run(again.agg(count(F.col("was_target").isNotNull() & F.col("known").isNull()).alias("unknown_call_target"), count(F.trim(F.coalesce("name", F.lit(""))) == "").alias("call_site_name"), F.sum("typed").alias("receiver_type"), count(~same).alias("call_site_resolution")))
+
+    then = totals.first()
+    related.sweep(totals)
+    out["call_site_count"] = int(any(now.get(c, 0) != then[c] for c in ("ambiguous", "unresolved")))
+    out["edge_count"] = int(n_edges != then["edges"])
+    per_file = symbols.groupBy("path").agg(F.count("*").alias("n"))
+    fresh = resolve.callable_catalog(symbols)
+    rest = {
         "duplicate_id": ids.groupBy("id").count().filter("count > 1"),
-        "unknown_source": missing(edges, "src"),
-        "unknown_target": missing(edges, "dst"),
-        "unknown_caller": missing(sites, "caller"),
-        "unknown_call_target": missing(sites, "target"),
         "file_index": files.join(per_file, "path", "full_outer").filter("coalesce(symbol_count, -1) <> coalesce(n, 0)"),
         "name_index": symbols.filter(F.col("name") != F.element_at(F.split("qualified_name", "::"), -1)),
-        "callable_index": multiset_difference(fresh, catalog.select(*fresh.columns)),
-        "call_site_location": sites.join(own, "caller").filter("path <> home"),
-        "call_site_name": sites.filter(F.trim(F.coalesce("name", F.lit(""))) == ""),
-        "receiver_type": sites.filter(typed),
-        "call_site_resolution": multiset_difference(sites.select(*said), again.select(*said)).select("seq").distinct(),
-        "resolved_call_edge": lost.filter("kind = 'CALLS'"),
-        "resolved_test_edge": lost.filter("kind = 'TESTS'"),
-        "relationship_ownership": spare,
-        "call_site_count": now.join(totals.withColumnsRenamed({"ambiguous": "a", "unresolved": "u"}), F.expr("ambiguous <> a OR unresolved <> u")),
-        "edge_count": n_edges.join(totals.withColumnRenamed("edges", "e"), F.expr("edges <> e")),
         "diagnostic_count": files.join(diagnostics.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("kept")), "path", "left").filter("diagnostic_count < coalesce(kept, 0)"),
         "diagnostic_path": diagnostics.filter("path <> file"),
         "diagnostic_quality": diagnostics.filter("provenance <> 'tree_sitter' OR precision <> 'syntax'"),
         **counts,
     }
-    out = None
-    for name, df in checks.items():
-        row = df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
-        out = row if out is None else out.unionByName(row)
-    return out
+    every({"callable_index": multiset_difference(fresh, catalog.select(*fresh.columns))})
+    every(rest)
+    return symbols.sparkSession.createDataFrame(list(out.items()), "check_name string, violations long")
 
 
 def diagnostic_order() -> list[Column]:
